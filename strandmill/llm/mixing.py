@@ -124,8 +124,8 @@ def take_budgets(docs: DataFrame, levels: list[str], leaves: list[Leaf], seed: i
     """doc_id, levels, n_tokens and uses (at least 1) of the documents that the leaves' budgets take.
 
     docs has doc_id (unique), the levels (not null) and n_tokens; documents without
-    tokens are never taken. A leaf's last epoch ends before the document that would pass
-    its budget, so it falls short by less than one document.
+    tokens are never taken. The document at which a leaf's budget ends is taken if at
+    least half of it still fits, so a leaf misses its budget by half a document at most.
     """
     spark = docs.sparkSession
     plan = [(*x.path, x.budget // x.tokens, x.budget - x.budget // x.tokens * x.tokens) for x in leaves if x.budget > 0]
@@ -140,7 +140,7 @@ def take_budgets(docs: DataFrame, levels: list[str], leaves: list[Leaf], seed: i
     rows = rows.join(ends, levels)
     inside = Window.partitionBy(*levels).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = rows.where("range = end_range").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
-    last = last.withColumn("uses", F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).drop("upto")
+    last = last.withColumn("uses", F.col("whole") + F.when(2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest"), 1).otherwise(0)).drop("upto")
     others = rows.where("range <> end_range").withColumn("uses", F.col("whole") + F.when(F.col("range") < F.col("end_range"), 1).otherwise(0))
     return others.unionByName(last).where("uses > 0").select("doc_id", *levels, "n_tokens", F.col("uses").cast("int").alias("uses"))
 
