@@ -22,32 +22,40 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are; a parameter of every function that needs them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
-# Fixed values of the public tokenizer: the pattern that splits text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The tokenizer's split is 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+# with the letters, numbers and white space of Unicode 16. These are the code points with the White_Space property,
+# and the letters and numbers that Unicode 16 added to what Python's tables may have.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
-# White space by the Unicode property, as PATTERN's \s means it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: The same split in terms of the faster standard module, for texts without _ODD characters.
-_QUICK = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{_SPACE}\w]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The split in terms of the standard module, for texts in which its classes are those meant.
+_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{WHITE_SPACE}\w]|_)+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
 
 @lru_cache(1)
-def _odd() -> frozenset[str]:
-    """Characters that the standard module classes otherwise: numbers that aren't decimal digits, and word characters that are neither letters nor numbers."""
-    odd = set()
+def _stand_ins() -> dict[int, str]:
+    """For each character that the standard module classes otherwise, one that it classes as is meant."""
+    new = {c: "a" for x, y in NEW_LETTERS for c in range(x, y + 1)} | {c: "0" for x, y in NEW_NUMBERS for c in range(x, y + 1)}
+    other = {}
     for i in range(sys.maxunicode + 1):
         c = chr(i)
-        kind = unicodedata.category(c)
-        if kind in ("Nl", "No") or (c.isalnum() and kind[0] not in "LN") or (kind[0] == "L" and not c.isalnum()):
-            odd.add(c)
-    return frozenset(odd)
+        kind = unicodedata.category(c)[0]
+        meant = new.get(i) or {"L": "a", "N": "0"}.get(kind, "!")
+        is_number = c.isdecimal()
+        if meant != ("0" if is_number else "a" if c.isalnum() else "!") and c not in WHITE_SPACE:
+            other[i] = meant
+    return other
 
 
 class Encoder:
@@ -56,8 +64,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], cache_pieces: int = 400_000) -> None:
         self.ranks = ranks
         self.words = {i: b for b, i in ranks.items()}
-        self.pattern = regex.compile(PATTERN)
-        self.odd = _odd()
+        self.stand_ins = _stand_ins()
+        self.odd = frozenset(map(chr, self.stand_ins))
         self.cache_pieces = cache_pieces
         outer = self
 
@@ -103,8 +111,8 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         if text.isascii() or self.odd.isdisjoint(text):
-            return _QUICK.findall(text)
-        return self.pattern.findall(text)
+            return _SPLIT.findall(text)
+        return [text[m.start() : m.end()] for m in _SPLIT.finditer(text.translate(self.stand_ins))]
 
     def encode(self, text: str | None) -> Iterable[int]:
         """Ids without special tokens, whose strings are ordinary text; none for null and for empty text."""

@@ -46,9 +46,12 @@ def _cluster(g: np.ndarray, mean: np.ndarray, weight: np.ndarray, low: np.ndarra
     before = before - np.repeat(before[heads], sizes)
     q = (before + weight / 2) / np.repeat(total, sizes)
     k = np.floor(compression / (2 * np.pi) * np.arcsin(np.clip(2 * q - 1, -1, 1)))
-    # Equal single values belong together whatever k says: that loses nothing.
-    same = (low[1:] == high[:-1]) & (low[1:] == low[:-1]) & (high[1:] == low[1:])
-    new = np.append(True, (g[1:] != g[:-1]) | ((k[1:] != k[:-1]) & ~same))
+    # Equal values belong together whatever k says: that loses nothing. Where they fill more than one step of k they stay by themselves.
+    same = (g[1:] == g[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (high[1:] == low[1:])
+    run = np.flatnonzero(np.append(True, ~same))
+    wide = k[run] != k[np.append(run[1:], len(k)) - 1]
+    new = np.zeros(len(g), bool)
+    new[run] = np.append(True, (g[run[1:]] != g[run[1:] - 1]) | (k[run[1:]] != k[run[1:] - 1]) | wide[1:] | wide[:-1])
     cut_ = np.flatnonzero(new)
     w = np.add.reduceat(weight, cut_)
     return g[cut_], np.add.reduceat(mean * weight, cut_) / w, w, np.minimum.reduceat(low, cut_), np.maximum.reduceat(high, cut_)
@@ -123,25 +126,23 @@ def merge_digests(digests: DataFrame, compression: int = COMPRESSION) -> DataFra
 
 
 def digest_quantiles(digests: DataFrame, quantiles: list[float]) -> DataFrame:
-    """(g, n, q, estimate) by straight lines between the middles of centroids."""
+    """(g, n, q, estimate): the centroid in which rank q * n falls, by a straight line between its least and greatest value.
+
+    A centroid of equal values is that value, so groups with few values are exact; else
+    the rank is off by a centroid's weight at most where digests don't interleave.
+    """
     n = F.aggregate("weight", F.lit(0).cast("bigint"), lambda s, w: s + w).alias("n")
-    spread = digests.select("g", n, F.col("low")[0].alias("least"), F.element_at("high", -1).alias("most"), F.arrays_zip("mean", "weight").alias("c"))
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("found"))
+    spread = digests.select("g", n, F.arrays_zip("weight", "low", "high").alias("c"))
+    start = F.struct(F.lit(0).cast("bigint").alias("cum"), F.lit(None).cast("double").alias("x"))
 
     def estimate(q: float):
         target = F.col("n") * F.lit(q)
 
         def step(s, c):
-            middle = s["cum"] + c["weight"] / 2
-            left = F.coalesce(s["x"], F.col("least"))
-            line = left + (c["mean"] - left) * F.when(middle > s["at"], (target - s["at"]) / (middle - s["at"])).otherwise(F.lit(0.0))
-            return F.struct((s["cum"] + c["weight"]).cast("double").alias("cum"), middle.cast("double").alias("at"), c["mean"].alias("x"), F.coalesce(s["found"], F.when(target <= middle, line)).alias("found"))
-
-        def finish(s):
-            tail = s["x"] + (F.col("most") - s["x"]) * F.when(F.col("n") > s["at"], (target - s["at"]) / (F.col("n") - s["at"])).otherwise(F.lit(0.0))
-            return F.coalesce(s["found"], tail)
+            here = c["low"] + (c["high"] - c["low"]) * (target - s["cum"]) / c["weight"]
+            return F.struct((s["cum"] + c["weight"]).alias("cum"), F.coalesce(s["x"], F.when(s["cum"] + c["weight"] >= target, here)).alias("x"))
 
-        return F.aggregate("c", start, step, finish)
+        return F.coalesce(F.aggregate("c", start, step)["x"], F.element_at("c", -1)["high"])
 
     return spread.select("g", "n", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), estimate(q).alias("estimate")) for q in quantiles])).alias("e")).select("g", "n", "e.q", "e.estimate")
 
