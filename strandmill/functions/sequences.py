@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
+#: Letters by which the blocks of kmers() are apart.
+BLOCK = 64
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -26,9 +29,14 @@ def gc_fraction(c: Column | str) -> Column:
 
 
 def kmers(c: Column | str, k: int) -> Column:
-    """Array of all overlapping words of k letters in order; empty if the string is shorter."""
+    """Array of all overlapping words of k letters in order; empty if the string is shorter.
+
+    The string is cut into overlapping blocks first: finding the i-th letter of a string
+    takes i steps, so words are taken from short strings.
+    """
     s = _c(c)
-    words = F.transform(F.sequence(F.lit(0), F.length(s) - k), lambda i: F.substring(s, i + 1, F.lit(k)))
+    blocks = F.transform(F.sequence(F.lit(0), F.length(s) - k, F.lit(BLOCK)), lambda b: F.substring(s, b + 1, F.lit(BLOCK + k - 1)))
+    words = F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - k + 1), lambda i: F.substring(x, i, F.lit(k)))))
     return F.when(F.length(s) >= k, words).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
