@@ -154,4 +154,4 @@ def test_texts(spark):
     ids = spark.createDataFrame([("SRR_12",), ("world",), ("orl",), (None,)], "name string")
     assert {tuple(r) for r in textscan.mentions(df, "id", "text", ids, "name").collect()} == {(1, "srr_12"), (1, "world")}
     claims = spark.createDataFrame([("c1", "hello world again"), ("c2", "hello srr_12 x world"), ("c3", "verdict")], "cid string, wording string")
-    assert {tuple(r) for r in textscan.match_claims(df, "id", "text", claims, "cid", "wording").collect()} == {(1, "c2", 3)}
+    assert {tuple(r) for r in textscan.match_claims(df, "id", "text", claims, "cid", "wording").collect()} == {(1, "c2", 5)}
