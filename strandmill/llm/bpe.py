@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Where the public vocabulary files are; a parameter of every function that needs them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
@@ -156,7 +158,7 @@ def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, row + 1 - start), lists], schema=IDS)
                     start, ids, ends = row + 1, array("i"), [0]
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id bigint, ids array<int>")
+    return spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(work, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: dict[str, Column], text: Column, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -170,7 +172,7 @@ def count_tokens(df: DataFrame, keep: dict[str, Column], text: Column, tokenizer
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(work, f"{fields}, n_tokens bigint")
+    return spread(rows).mapInArrow(work, f"{fields}, n_tokens bigint")
 
 
 def decode_documents(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

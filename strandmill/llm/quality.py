@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 STATS = ("words_per_line", "word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "common_lines", "odd_letters", "odd_words", "delimited_lines")
 
@@ -217,7 +217,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, fields)], names=[n for n, _ in fields])
 
     ddl = "doc_id bigint, language string, n_lines bigint, n_words bigint, " + ", ".join(f"{s} double" for s in STATS)
-    return rows.mapInArrow(work, ddl)
+    return spread(rows).mapInArrow(work, ddl)
 
 
 def fit_prose(stats: DataFrame, steps: int = 3) -> dict[str, Fit]:
