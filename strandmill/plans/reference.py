@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import key_form, task_key
 from ..functions.sequences import distinct_letters, gc_fraction, kmers, reverse_complement
-from ..operators import abundance, arrays, best, graph, intervals, logs, partners, ranking, runs, sampling, textscan, tiers, words
+from ..operators import abundance, arrays, best, census, graph, intervals, logs, partners, ranking, runs, sampling, textscan, tiers, words
 from ..session import ensure_checkpoint_dir
 from ..streaming import ledger
 from .tables import table
@@ -54,6 +54,18 @@ def best_hit_per_target(spark: SparkSession, d: str) -> DataFrame:
     return best.best_per_key(hits, ["target_id"], [F.desc("bitscore"), F.col("label"), F.desc("coverage"), F.desc("seq_identity")])
 
 
+@query("""with b as (
+  select target_id, bitscore, coverage from (select *, row_number() over (partition by target_id order by bitscore desc, label, coverage desc, seq_identity desc) rn
+  from tier2_hits where target_id is not null and bitscore is not null and not isnan(bitscore)) where rn = 1),
+l as (select protein_id, max(length) length, bool_or(regexp_matches(sequence, 'Y.DD')) motif from proteins group by 1)
+select target_id, case when bitscore < 25 and coverage < 0.35 and motif is not distinct from false then 'weak' when not coalesce(coverage >= 0.75, false) then 'fragment' when not coalesce(length >= 225, false) then 'short' else 'kept' end verdict
+from b left join l on l.protein_id = b.target_id""")
+def census_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "proteins").groupBy(F.col("protein_id").alias("target_id")).agg(F.max("length").alias("length"), F.bool_or(F.col("sequence").rlike("Y.DD")).alias("motif"))
+    hits = best_hit_per_target(spark, d).join(p, "target_id", "left")
+    return hits.select("target_id", census.verdict(F.col("bitscore"), F.col("coverage"), F.col("length"), F.col("motif")).alias("verdict"))
+
+
 _T1 = """t1 as (
   select target, max(case when rn = 1 then rt_class end) rt_class from (
     select target_id target, rt_class, max(bitscore) s, row_number() over (partition by target_id order by max(bitscore) desc, rt_class) rn
