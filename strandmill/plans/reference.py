@@ -220,29 +220,34 @@ def longest_non_overlapping_genes(spark: SparkSession, d: str) -> DataFrame:
 # Runs
 
 
+def _starts(spark: SparkSession, d: str, max_gap: int) -> DataFrame:
+    """Distinct gene starts with the stretch of their contig in which no gap exceeds max_gap."""
+    return runs.stretches(_genes(spark, d).select("contig", "lo").distinct(), "contig", "lo", max_gap)
+
+
 @query(f"""with {_GENES}, pts as (select distinct contig, lo from genes), g as (select *, lo - lag(lo) over (partition by contig order by lo) gap from pts),
 i as (select *, sum(case when gap is null or gap > 99 then 1 else 0 end) over (partition by contig order by lo rows unbounded preceding) island from g)
 select contig, min(lo) first, max(lo) as last, count(*)::bigint n from i group by contig, island having count(*) >= 2""")
 def dense_gene_starts(spark: SparkSession, d: str) -> DataFrame:
-    return runs.dense_runs(_genes(spark, d), ["contig"], "lo").drop("island")
+    return runs.dense_runs(_starts(spark, d, 99), ["contig", "stretch"], "lo").drop("island", "stretch")
 
 
 @query(f"""with {_GENES}, pts as (select distinct contig, lo from genes), g as (select *, lo - lag(lo) over (partition by contig order by lo) gap from pts),
 i as (select *, sum(case when gap is null or gap < 100 or gap > 450 then 1 else 0 end) over (partition by contig order by lo rows unbounded preceding) island from g)
 select contig, min(lo) first, max(lo) as last, count(*)::bigint n from i group by contig, island having count(*) >= 3""")
 def gap_runs_of_gene_starts(spark: SparkSession, d: str) -> DataFrame:
-    r = runs.gap_islands(_genes(spark, d), ["contig"], "lo", 100, 450).where(F.size("positions") >= 3)
+    r = runs.gap_islands(_starts(spark, d, 450), ["contig", "stretch"], "lo", 100, 450).where(F.size("positions") >= 3)
     return r.select("contig", F.col("positions")[0].alias("first"), F.element_at("positions", -1).alias("last"), F.size("positions").cast("bigint").alias("n"))
 
 
 @query()
 def regular_gene_starts(spark: SparkSession, d: str) -> DataFrame:
-    return runs.regular_runs(_genes(spark, d), ["contig"], "lo").select("contig", "positions")
+    return runs.regular_runs(_starts(spark, d, 450), ["contig", "stretch"], "lo").select("contig", "positions")
 
 
 @query()
 def spaced_gene_starts(spark: SparkSession, d: str) -> DataFrame:
-    return runs.spaced_greedily(_genes(spark, d), ["contig"], "lo", 1000)
+    return runs.spaced_greedily(_starts(spark, d, 1000), ["contig", "stretch"], "lo", 1000).select("contig", "lo")
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

@@ -101,6 +101,19 @@ def test_runs_like_brute_force(spark):
     assert runs.regular_runs(df.limit(0), ["k"], "at").collect() == []
 
 
+def test_runs_by_stretches_are_the_same(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(30_000)) for k in "ab" for _ in range(120)] + [(None, 1), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, at int")
+    cut = runs.stretches(df, "k", "at", 450, bin_size=700)
+    assert cut.count() == 240
+    whole, parts = (sorted((r.k, tuple(r.positions)) for r in runs.regular_runs(x.where("k is not null"), keys, "at").collect()) for x, keys in ((df, ["k"]), (cut, ["k", "stretch"])))
+    assert whole == parts and whole
+    d99 = runs.stretches(df, "k", "at", 99)
+    a, b = (sorted((r.k, r.first, r["last"], r.n) for r in runs.dense_runs(x, keys, "at").collect()) for x, keys in ((df.where("k is not null"), ["k"]), (d99, ["k", "stretch"])))
+    assert a == b and a
+
+
 def test_reference_boundary_runs(spark):
     df = spark.createDataFrame([(0, x) for x in (0, 200, 400, 700, 900, 1100)], "k int, at int")
     assert [tuple(r.positions) for r in runs.regular_runs(df, ["k"], "at").collect()] == [(0, 200, 400)]
