@@ -90,7 +90,7 @@ orphans as (
 ORACLES = {
     "p1_found": f"""
 with r as (
-  select {_k('contig_id')} k, least(start_pos, end_pos)::bigint lo, greatest(start_pos, end_pos)::bigint hi from proteins
+  select distinct {_k('contig_id')} k, least(start_pos, end_pos)::bigint lo, greatest(start_pos, end_pos)::bigint hi from proteins
   where contig_id is not null and start_pos is not null and end_pos is not null),
 p as (select *, max(hi) over (partition by k order by lo, hi rows between unbounded preceding and 1 preceding) pm from r),
 i as (select *, sum(case when pm is null or lo > pm + 1 then 1 else 0 end) over (partition by k order by lo, hi rows unbounded preceding) g from p),
