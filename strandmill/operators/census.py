@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import kmers
+from ..functions.sequences import kmers, reverse_complement
 from ..session import cut
 from .abundance import proper_alignments, tpm
 from .best import best_per_key
-from .graph import reachable, symmetric
+from .graph import components, reachable, symmetric
 from .intervals import overlap_join, union_length_windowed
 
 # Thresholds of the census, and the words in a profile's name that tell its class, most specific first.
@@ -86,30 +86,30 @@ def expression(alignments: DataFrame, features: DataFrame) -> DataFrame:
 
     alignments: library, ref, strand, lo, hi, fragment, mapq, flag, tlen; features:
     feature, ref, strand, lo, hi. A fragment that overlaps features of its strand counts
-    once for the only one; one that overlaps several counts for none.
+    once for the only one; one that overlaps several counts for none. A feature without
+    fragments in a library has no row there (its tpm is 0).
     """
     a = proper_alignments(alignments).select("library", F.concat_ws(":", "ref", "strand").alias("place"), F.col("lo").alias("a"), F.col("hi").alias("b"), "fragment")
     f = features.select("feature", F.concat_ws(":", "ref", "strand").alias("place"), F.col("lo").alias("c"), F.col("hi").alias("d"))
     met = overlap_join(a, f, "place", ("a", "b"), ("c", "d")).select("library", "fragment", "feature").distinct()
     single = met.groupBy("library", "fragment").agg(F.count("*").alias("n"), F.min("feature").alias("feature")).where("n = 1")
     counts = single.groupBy("library", "feature").agg(F.count("*").alias("fragments"))
-    libraries = counts.select("library").distinct().withColumn("one", F.lit(1))
-    every = features.select("feature", (F.col("hi") - F.col("lo") + 1).alias("length"), F.lit(1).alias("one")).join(libraries, "one").drop("one")
-    return tpm(every.join(counts, ["library", "feature"], "left").withColumn("fragments", F.coalesce("fragments", F.lit(0))), "library", "length", "fragments")
+    lengths = features.select("feature", (F.col("hi") - F.col("lo") + 1).alias("length"))
+    return tpm(counts.join(lengths, "feature"), "library", "length", "fragments")
 
 
 def shared_repeat_groups(repeats: DataFrame, locus: str, repeat: str, k: int = 8) -> DataFrame:
-    """(locus_a, locus_b, shared) of loci whose repeats share a word of k letters on either strand.
+    """(locus, group) of loci whose repeats share words of k letters on either strand, directly or through others.
 
-    Loci meet by their words, never all with all; a word in one locus only meets nothing.
+    Every locus is linked to the first locus of each of its words, never all with all;
+    the groups are the connected components, named by their first locus. A word counts
+    as the smaller of itself and its reverse complement. Loci that share none are left out.
     """
-    from ..functions.sequences import reverse_complement
-
-    strands = repeats.where(F.col(repeat).isNotNull()).select(F.col(locus).alias("locus"), F.upper(F.col(repeat)).alias("r"))
-    own = strands.select("locus", F.explode(F.array_distinct(kmers("r", k))).alias("word"))
-    other = strands.select("locus", F.explode(F.array_distinct(F.concat(kmers("r", k), kmers(reverse_complement("r"), k)))).alias("word"))
-    pairs = own.select(F.col("locus").alias("locus_a"), "word").join(other.select(F.col("locus").alias("locus_b"), "word"), "word").where("locus_a <> locus_b")
-    return pairs.groupBy(F.least("locus_a", "locus_b").alias("locus_a"), F.greatest("locus_a", "locus_b").alias("locus_b")).agg(F.count_distinct("word").alias("shared"))
+    r = repeats.where(F.col(repeat).isNotNull() & F.col(locus).isNotNull()).select(F.col(locus).alias("locus"), F.explode(F.array_distinct(kmers(F.upper(F.col(repeat)), k))).alias("w"))
+    r = r.select("locus", F.least("w", reverse_complement("w")).alias("word")).distinct()
+    hubs = r.groupBy("word").agg(F.min("locus").alias("src"))
+    edges = r.join(hubs, "word").where("locus <> src").select("src", F.col("locus").alias("dst"))
+    return components(edges).select(F.col("node").alias("locus"), F.col("component").alias("group"))
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[Column], prefix: str = "L", width: int = 2) -> DataFrame:

@@ -11,6 +11,12 @@ def seeded_order(row_id: Column | str, seed: int = 1) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+def first_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first n rows of each group in the given order, with their rank from 1."""
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
 def sample_per_group(df: DataFrame, groups: list[str], row_id: str, n: int, seed: int = 1) -> DataFrame:
     """At most n rows of each group, by seeded order; ids are distinct within a group."""
     w = Window.partitionBy(*groups).orderBy(seeded_order(row_id, seed), row_id)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import key_form, task_key
 from ..functions.sequences import distinct_letters, gc_fraction, kmers, reverse_complement
 from ..operators import abundance, arrays, best, census, graph, intervals, logs, partners, ranking, runs, sampling, textscan, tiers, words
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..streaming import ledger
 from .tables import table
 
@@ -308,7 +308,7 @@ def sequence_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def exact_word_arrays(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     return words.exact_word_arrays(docs, "doc_id", "text", 12)
 
 
@@ -497,15 +497,17 @@ def task_mix(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(logs.task_kind(F.col("extra"), F.col("stage")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""with p as (select a.rt_class, b.biosample from (select distinct rt_class from neighbor_genes) a, (select distinct biosample from neighbor_genes) b)
-select p.rt_class, p.biosample from p left join (select distinct rt_class, biosample from neighbor_genes) g on g.rt_class is not distinct from p.rt_class and g.biosample is not distinct from p.biosample where g.biosample is null and g.rt_class is null""")
-def pending_class_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Combinations of class and biosample that no gene has, as a resumed run would plan them."""
-    g = table(spark, d, "neighbor_genes")
-    samples = g.groupBy(F.lit(1).alias("one"), "biosample").agg(F.count("*").alias("c"))
-    classes = g.groupBy("rt_class").agg(F.count("*").alias("c")).select("rt_class", F.lit(1).alias("one"))
-    planned = samples.join(classes, "one").select("rt_class", "biosample")
-    return logs.pending(planned, g.select("rt_class", "biosample"), ["rt_class", "biosample"])
+@query(f"""with {_LOCI.replace("min(rt_clade) rt_clade", "min(biosample) biosample")},
+p as (select distinct rt_class, biosample, unnest(range(1, 6)) slot from loci),
+f as (select rt_class, biosample, row_number() over (partition by rt_class, biosample order by locus_id) slot from loci)
+select p.rt_class, p.biosample, p.slot::int slot from p left join f on f.rt_class is not distinct from p.rt_class and f.biosample is not distinct from p.biosample and f.slot = p.slot where f.slot is null""")
+def pending_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Five loci are planned for each class and biosample that occur together; the slots still without one."""
+    loci = table(spark, d, "neighbor_genes").where("locus_id is not null").groupBy("locus_id").agg(F.min("rt_class").alias("rt_class"), F.min("biosample").alias("biosample"))
+    # Only five rows a pair matter, so the ranking is pruned before its shuffle.
+    done = sampling.first_per_group(loci, ["rt_class", "biosample"], [F.col("locus_id")], 5, "slot")
+    planned = loci.select("rt_class", "biosample").distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return logs.pending(planned, done, ["rt_class", "biosample", "slot"])
 
 
 @query("""with w as (select time_bucket(interval '1 day', ts) window_start, event_type, count(*)::bigint n, round(sum(value), 2) total from events group by 1, 2)
@@ -516,4 +518,4 @@ def streamed_daily_events(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     stream = ledger.stream_table(spark, d, events.schema, "events.parquet")
     ledger.run_to_end(ledger.windowed_summary(stream, "ts", "event_type", "value", "1 day"), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").select("window_start", "event_type", "n", F.round("total", 2).alias("total"))
+    return spark.read.parquet(f"{out}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
