@@ -7,8 +7,12 @@ first: a pair can't occur more often than its rarer item, and at a lift of L no
 of a wanted pair is in more than N / L records. Very common items, which would make
 most pairs, never reach a stripe when a minimum lift is asked for.
 
-A record with more items than a block is split: its items are dealt to blocks, and
-each pair of blocks is a task's group of its own, so no record is held or crossed whole.
+A record with more items than a block is never held whole nor crossed with itself while
+a scope has fewer of them than a pair's least count: a wanted pair must then occur in
+some smaller record too, so pairs are counted there with a lower bound, and what the
+large records add is looked up for those pairs only, from the few large records that
+each item is in. Where there are more, a large record's items are dealt to blocks and
+each pair of blocks is a task's group of its own. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -116,20 +120,44 @@ def _merge_stripes(least: int):
     return work
 
 
-def _split_records(kept: DataFrame, block: int) -> DataFrame:
-    """(left, right): the sorted items of each record, or of each pair of blocks of a large one."""
-    one = F.sort_array(F.collect_list("id"))
-    nothing = F.expr("cast(array() as array<bigint>)")
-    large = cut(kept.groupBy("scope", "record").count().where(F.col("count") > block))
-    if large.isEmpty():
-        return kept.groupBy("scope", "record").agg(one.alias("left")).where(F.size("left") > 1).select("left", nothing.alias("right"))
-    small = kept.join(large, ["scope", "record"], "left_anti").groupBy("scope", "record").agg(one.alias("left")).where(F.size("left") > 1).select("left", nothing.alias("right"))
+NOTHING = "cast(array() as array<bigint>)"
+
+
+def _whole(kept: DataFrame) -> DataFrame:
+    """(left, right): the sorted items of each record, and nothing."""
+    return kept.groupBy("scope", "record").agg(F.sort_array(F.collect_list("id")).alias("left")).where(F.size("left") > 1).select("left", F.expr(NOTHING).alias("right"))
+
+
+def _dealt(kept: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(left, right): the sorted items of each pair of blocks of the large records."""
     dealt = kept.join(large, ["scope", "record"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.groupBy("scope", "record", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     dealt = dealt.agg(F.sort_array(F.collect_list(F.when(F.col("mine") == F.least("mine", "other"), F.col("id")))).alias("left"), F.sort_array(F.collect_list(F.when(F.col("mine") > F.col("other"), F.col("id")))).alias("right"))
     # A block with itself comes in left alone; without a partner in the other block there is no pair.
-    return small.unionByName(dealt.where((F.col("i") == F.col("j")) | (F.size("right") > 0)).select("left", "right"))
+    return dealt.where((F.col("i") == F.col("j")) | (F.size("right") > 0)).select("left", "right")
+
+
+def _count_pairs(arrays: DataFrame, least: int) -> DataFrame:
+    stripes = arrays.mapInArrow(_make_stripes, "a bigint, b array<bigint>, n array<bigint>")
+    return stripes.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_stripes(least), "a bigint, b bigint, n_ab bigint")
+
+
+def _pair_counts(kept: DataFrame, least: int, block: int) -> DataFrame:
+    """(a, b, n_ab) of the pairs of items that at least least records hold; kept has scope, record, id."""
+    large = cut(kept.groupBy("scope", "record").count().where(F.col("count") > block))
+    most = large.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+    if not most:
+        return _count_pairs(_whole(kept), least)
+    small = kept.join(large, ["scope", "record"], "left_anti")
+    if most >= least:
+        return _count_pairs(_whole(small).unionByName(_dealt(kept, large, block)), least)
+    # At most `most` records are looked up for an item: an item belongs to one scope.
+    inside = kept.join(large, ["scope", "record"]).groupBy("id").agg(F.collect_list("record").alias("in"))
+    pairs = _count_pairs(_whole(small), least - most)
+    pairs = pairs.join(inside.select(F.col("id").alias("a"), F.col("in").alias("in_a")), "a", "left").join(inside.select(F.col("id").alias("b"), F.col("in").alias("in_b")), "b", "left")
+    more = F.when(F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), F.size(F.array_intersect("in_a", "in_b"))).otherwise(0)
+    return pairs.select("a", "b", (F.col("n_ab") + more).alias("n_ab")).where(F.col("n_ab") >= least)
 
 
 def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
@@ -154,8 +182,7 @@ def cooccurrence(df: DataFrame, scope: Column, record: Column, item: Column, min
     items = rows.groupBy("scope", "item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= min_count).join(totals, "scope")
     items = cut(items.where(F.col("n") >= min_lift * F.col("n_item")).withColumn("id", F.monotonically_increasing_id()))
     kept = rows.join(items.select("scope", "item", "id"), ["scope", "item"]).select("scope", "record", "id")
-    stripes = _split_records(kept, block).mapInArrow(_make_stripes, "a bigint, b array<bigint>, n array<bigint>")
-    pairs = stripes.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_stripes(min_count), "a bigint, b bigint, n_ab bigint")
+    pairs = _pair_counts(kept, min_count, block)
     one = items.select(F.col("id").alias("a"), "scope", F.col("item").alias("x"), F.col("n_item").alias("n_x"), "n")
     two = items.select(F.col("id").alias("b"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
     named = pairs.join(one, "a").join(two, "b")

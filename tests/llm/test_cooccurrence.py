@@ -40,10 +40,17 @@ def test_like_brute_force_also_in_blocks(spark):
     rows += [("A", "big", f"i{i:02d}") for i in range(40)] + [("A", "big2", f"i{i:02d}") for i in range(40)] + rows[:50]
     rows += [(None, "r", "x"), ("A", None, "x"), ("A", "r1", None), ("A", "r1", ""), ("C", "only", "one")]
     for args in ((2, 0.0, 0.0), (3, 1.5, 0.0), (2, 0.0, 3.84), (8, 4.0, 6.63)):
-        for block in (512, 5):
+        for block in (512, 25, 5):
             got, n = run(spark, rows, *args, block=block)
             assert n == len(got) and got == brute(rows, *args)
 
 
+def test_one_record_with_a_third_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [("A", "huge", f"i{i:04d}") for i in range(2500)] + [("A", f"r{j}", f"i{int(rng.paretovariate(0.6)) % 900:04d}") for j in range(700) for _ in range(7)]
+    got, n = run(spark, rows, 3, 2.0, 3.84)
+    assert n == len(got) and got == brute(rows, 3, 2.0, 3.84) and got
+
+
 def test_empty(spark):
     assert run(spark, []) == (set(), 0)
