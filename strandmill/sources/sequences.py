@@ -55,7 +55,7 @@ _FEATURE = re.compile(r"^     (\S+)\s+(\S.*)$")
 _QUALIFIER = re.compile(r'^\s+/(\w+)="?([^"]*)"?')
 
 
-def _parse(record: str) -> tuple[str | None, str | None, list[tuple[str | None, int, int, str]], str]:
+def _parse(record: str, strict: bool = False) -> tuple[str | None, str | None, list[tuple[str | None, int, int, str]], str]:
     """Version, organism, coding features (id, low, high, strand) and sequence of a record."""
     version = organism = None
     features: list[list] = []
@@ -79,7 +79,11 @@ def _parse(record: str) -> tuple[str | None, str | None, list[tuple[str | None,
             elif features and not features[-1][2]:
                 features[-1][1] += line.strip()
     coding = []
+    if strict and version is None:
+        raise ValueError("a record without VERSION")
     for kind, place, said in features:
+        if strict and kind == "CDS" and re.search(r"join|order", place):
+            raise ValueError(f"{version}: a joined location, {place}")
         ends = [int(x) for x in re.findall(r"\d+", place)]
         if kind == "CDS" and ends:
             coding.append((said.get("protein_id") or said.get("locus_tag"), min(ends), max(ends), "-" if place.startswith("complement") else "+"))
@@ -89,16 +93,17 @@ def _parse(record: str) -> tuple[str | None, str | None, list[tuple[str | None,
 GENBANK_DDL = "version string, organism string, cds array<struct<id: string, low: int, high: int, strand: string>>, seq string"
 
 
-def parse_genbank(records: DataFrame) -> DataFrame:
+def parse_genbank(records: DataFrame, strict: bool = False) -> DataFrame:
     """version, organism, cds (1-based, both ends inside) and seq of each record.
 
     A coding feature spans all positions that its location names; it is on `-` if the
-    location begins with complement.
+    location begins with complement. strict fails on joined locations and on records
+    without a version.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(v, o, [dict(zip(("id", "low", "high", "strand"), c)) for c in cds], s) for v, o, cds, s in map(_parse, pdf.record)]
+            rows = [(v, o, [dict(zip(("id", "low", "high", "strand"), c)) for c in cds], s) for v, o, cds, s in (_parse(r, strict) for r in pdf.record)]
             yield pd.DataFrame(rows, columns=["version", "organism", "cds", "seq"])
 
     return records.select("record").mapInPandas(work, GENBANK_DDL)

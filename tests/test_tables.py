@@ -53,6 +53,8 @@ def test_genbank_and_gtf(spark, tmp_path):
     got = {r.version: r for r in sequences.parse_genbank(records).collect()}
     assert [tuple(c) for c in got["A.1"].cds] == [("P1", 3, 9, "-"), ("L2", 1, 2, "+")]
     assert got["A.1"].seq == "ACGTNN" and got["A.1"].organism == "Some bug" and got["B.1"].seq == "TT"
+    with pytest.raises(Exception, match="joined location"):
+        sequences.parse_genbank(records, strict=True).collect()
     ids = spark.createDataFrame([("P1|x",), ("Q",)], "id string")
     assert sequences.wanted_records(records, ids, "id").count() == 1
     lines = [r.value for r in sequences.gtf_lines(sequences.parse_genbank(records)).collect()]
