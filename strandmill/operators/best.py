@@ -17,10 +17,9 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def first_by_content(df: DataFrame, content: str, ordinal: str) -> DataFrame:
-    """One (content, first ordinal, copies) row for each distinct non-null content.
+    """One (content, first ordinal, copies) row for each distinct non-null content, counted on the map side first.
 
-    Contents meet by a 128-bit-wide pair of hashes and their length first, and by
-    themselves within, so long contents sort only where they collide.
+    For long contents pass a digest of them, so that the shuffle carries no texts.
     """
     return df.where(F.col(content).isNotNull()).groupBy(content).agg(F.min(ordinal).alias(ordinal), F.count("*").alias("copies"))
 
