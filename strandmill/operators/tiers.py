@@ -10,20 +10,37 @@ from .best import best_per_key
 # Thresholds of the three tiers, and the labels that name no class.
 MARGIN, MIN_SCORE, MIN_COVERAGE, MIN_IDENTITY, NEIGHBOURS = 10.0, 150.0, 0.5, 0.30, 5
 NO_CLASS = ("unplaced", "-", "")
+#: Least score of tier 1 by class, and of classes that are not named; the paper gives no values of its own for them.
+FLOORS = {"retron": 100.0, "UG": 100.0, "group II intron": 100.0, "DGR": 100.0, "CRISPR-assoc": 100.0, "group II-like": 100.0, "Abi": 100.0, "novel": 100.0}
+DEFAULT_FLOOR = 100.0
+
+
+def _two_best(hits: DataFrame) -> DataFrame:
+    """(target, rt_class, s1, s2): the best class of each target, its score, and the best score of any other class."""
+    ok = hits.where("target_id is not null and rt_class is not null and bitscore is not null and not isnan(bitscore)")
+    per = ok.groupBy(F.col("target_id").alias("target"), "rt_class").agg(F.max("bitscore").alias("s"))
+    w = Window.partitionBy("target").orderBy(F.desc("s"), "rt_class")
+    ranked = per.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    return ranked.groupBy("target").agg(F.max(F.when(F.col("rn") == 1, F.col("rt_class"))).alias("rt_class"), F.max(F.when(F.col("rn") == 1, F.col("s"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("s"))).alias("s2"))
 
 
 def tier1_margin(hits: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(target, rt_class): targets whose best profile beats the best one of any other class by at least margin.
 
     A target with hits of one class only is assigned to it. Scores are reduced to one a
-    class before they are compared; null and NaN scores are left out.
+    class before they are compared; null and NaN scores are left out. This is the margin
+    only: tier1_assign is the whole rule of tier 1.
     """
-    ok = hits.where("target_id is not null and rt_class is not null and bitscore is not null and not isnan(bitscore)")
-    per = ok.groupBy(F.col("target_id").alias("target"), "rt_class").agg(F.max("bitscore").alias("s"))
-    w = Window.partitionBy("target").orderBy(F.desc("s"), "rt_class")
-    ranked = per.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    two = ranked.groupBy("target").agg(F.max(F.when(F.col("rn") == 1, F.col("rt_class"))).alias("rt_class"), F.max(F.when(F.col("rn") == 1, F.col("s"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("s"))).alias("s2"))
-    return two.where(F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= margin)).select("target", "rt_class")
+    return _two_best(hits).where(F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= margin)).select("target", "rt_class")
+
+
+def tier1_assign(hits: DataFrame, floors: dict[str, float] = FLOORS, default_floor: float = DEFAULT_FLOOR, margin: float = MARGIN) -> DataFrame:
+    """(target, rt_class): tier1_margin, if the best score also reaches the floor of its class (inclusive)."""
+    floor = F.lit(default_floor)
+    for name, least in floors.items():
+        floor = F.when(F.col("rt_class") == name, least).otherwise(floor)
+    clear = F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= margin)
+    return _two_best(hits).where(clear & (F.col("s1") >= floor)).select("target", "rt_class")
 
 
 def tier2_best(hits: DataFrame) -> DataFrame:

@@ -103,6 +103,40 @@ def tier_counts(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
 
 
+_FLOORED = """floors(rt_class, floor) as (values ('retron', 100), ('UG', 100), ('group II intron', 100), ('DGR', 100), ('CRISPR-assoc', 100), ('group II-like', 100), ('Abi', 100), ('novel', 100)),
+top as (select target_id target, max(bitscore) s from tier1_hits where target_id is not null and rt_class is not null and bitscore is not null and not isnan(bitscore) group by 1),
+won as (select distinct target, rt_class, s from top join tier1_hits h on h.target_id = top.target and h.bitscore = top.s where rt_class is not null),
+t1 as (select target, w.rt_class from won w left join floors f on f.rt_class = w.rt_class where s >= coalesce(floor, 100)
+  and not exists (select 1 from tier1_hits h where h.target_id = w.target and h.rt_class <> w.rt_class and not isnan(h.bitscore) and w.s - h.bitscore < 10))"""
+
+
+@query(f"with {_FLOORED} select target, rt_class from t1")
+def tier1_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rule of tier 1: floor of the class and margin."""
+    return tiers.tier1_assign(table(spark, d, "tier1_hits"))
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    t1, t2 = table(spark, d, "tier1_hits"), table(spark, d, "tier2_hits")
+    targets = t1.select(F.col("target_id").alias("target")).unionByName(t2.select(F.col("target_id").alias("target"))).where("target is not null")
+    return tiers.classify(tiers.tier1_assign(t1), tiers.tier2_best(t2), None, targets)
+
+
+_ASSIGNED = f"""with {_FLOORED}, {_T2}, targets as (select target_id target from tier1_hits where target_id is not null union select target_id from tier2_hits where target_id is not null),
+placed as (select t.target, case when t1.rt_class is not null then 'tier1' when t2.label is not null then 'tier2' else 'none' end tier, coalesce(t1.rt_class, t2.label, 'unplaced') label
+  from targets t left join t1 on t1.target = t.target left join t2 on t2.target = t.target)"""
+
+
+@query(f"{_ASSIGNED} select * from placed")
+def assigned_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d)
+
+
+@query(f"{_ASSIGNED} select tier, count(*)::bigint n from placed group by 1")
+def assigned_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
+
+
 @query("""with g as (select distinct gene_id, locus_id, case when family like 'PF%' then substring(family, 1, 3) else 'unplaced' end label, abs(distance_to_adjacent_bp) rank from neighbor_genes where distance_to_adjacent_bp is not null and locus_id is not null),
 k as (select *, row_number() over (partition by locus_id order by rank, label) rn from g),
 a as (select locus_id target, count(*) n, count(distinct label) kinds, min(label) one, count(*) filter (where label in ('unplaced', '-', '')) nothing from k where rn <= 5 group by 1)

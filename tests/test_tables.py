@@ -117,6 +117,13 @@ def test_tiers(spark):
     assert {tuple(r) for r in placed.collect()} == {("a", "tier1", "X"), ("b", "none", "unplaced"), ("e", "tier2", "L"), ("five", "tier3", "A")}
 
 
+def test_tier1_floor(spark):
+    rows = [("at", "X", 100.0), ("under", "X", 99.9), ("margin", "X", 120.0), ("margin", "Y", 110.0), ("near", "X", 120.0), ("near", "Y", 110.1), ("own", "Z", 60.0), ("own", "X", 45.0), ("strict", "S", 150.0)]
+    hits = spark.createDataFrame(rows, "target_id string, rt_class string, bitscore double")
+    assert {tuple(r) for r in tiers.tier1_assign(hits).collect()} == {("at", "X"), ("margin", "X"), ("strict", "S")}
+    assert {tuple(r) for r in tiers.tier1_assign(hits, {"Z": 60.0, "S": 150.1}).collect()} == {("at", "X"), ("margin", "X"), ("own", "Z")}
+
+
 def test_quotas(spark):
     sizes = spark.createDataFrame([("s", "a", 10), ("s", "b", 100), ("s", "c", 50), ("t", "d", 20), ("t", "e", 25)], "scope string, g string, size int")
     got = {r.g: r.quota for r in sampling.proportional_quotas(sizes, ["scope"], "g", "size", 40).collect()}
