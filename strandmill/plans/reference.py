@@ -483,6 +483,26 @@ def hit_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_strong_edges(spark, d))
 
 
+def _family_edges(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "tier2_hits").where("target_id is not null and label is not null and bitscore is not null and not isnan(bitscore)")
+    return hits.where("bitscore >= 140").select(F.col("target_id").alias("src"), F.col("label").alias("dst")).distinct()
+
+
+_FAMILY = "e as (select distinct target_id src, label dst from tier2_hits where target_id is not null and label is not null and bitscore >= 140 and not isnan(bitscore)), u as (select src, dst from e union select dst, src from e)"
+
+
+@query(f"with recursive {_FAMILY}, seen as (select min(dst) node from e union select u.dst from seen join u on u.src = seen.node) select node from seen")
+def family_component_of_seed(spark: SparkSession, d: str) -> DataFrame:
+    edges = _family_edges(spark, d)
+    return graph.reachable(graph.symmetric(edges), edges.agg(F.min("dst").alias("node"))).select("node")
+
+
+@query()
+def family_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of all edges that qualify for a family; the closure of their pairs is too much for SQL."""
+    return graph.components(_family_edges(spark, d))
+
+
 # Texts
 
 
