@@ -51,20 +51,34 @@ def tier2_best(hits: DataFrame) -> DataFrame:
     return passed.select(F.col("target_id").alias("target"), "label")
 
 
+def _nearest(neighbours: DataFrame, k: int) -> DataFrame:
+    """(target, n, kinds, one, none): number of the k nearest neighbours, of their labels, the first label, and how many carry none."""
+    w = Window.partitionBy("target").orderBy("rank", "label")
+    near = neighbours.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    label = F.coalesce("label", F.lit(""))
+    return near.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct(label).alias("kinds"), F.min(label).alias("one"), F.count_if(label.isin(*NO_CLASS)).alias("none"))
+
+
 def tier3_neighbours(neighbours: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(target, label): targets whose k nearest neighbours (by rank) carry one label, or `novel` if most carry none.
 
     Five equal neighbours without a class are novel too. Targets with fewer than k
-    neighbours are left out.
+    neighbours are left out; tier3_assign has them.
     """
-    w = Window.partitionBy("target").orderBy("rank", "label")
-    near = neighbours.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    label = F.coalesce("label", F.lit(""))
-    agg = near.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct(label).alias("kinds"), F.min(label).alias("one"), F.count_if(label.isin(*NO_CLASS)).alias("none"))
-    agg = agg.where(F.col("n") == k)
+    agg = _nearest(neighbours, k).where(F.col("n") == k)
     return agg.select("target", F.when(F.col("none") * 2 > k, "novel").when(F.col("kinds") == 1, F.col("one")).alias("label")).where("label is not null")
 
 
+def tier3_assign(neighbours: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(target, label): tier3_neighbours, with targets of fewer than k neighbours, which are novel if most of these carry no label.
+
+    One label of all counts only where there are k neighbours.
+    """
+    agg = _nearest(neighbours, k)
+    one = F.when((F.col("n") == k) & (F.col("kinds") == 1), F.col("one"))
+    return agg.select("target", F.when(F.col("none") * 2 > F.col("n"), "novel").otherwise(one).alias("label")).where("label is not null")
+
+
 def classify(tier1: DataFrame, tier2: DataFrame, tier3: DataFrame | None, targets: DataFrame) -> DataFrame:
     """(target, tier, label): the first tier that places a target; `unplaced` otherwise."""
     out = targets.select("target").distinct().join(tier1.select("target", F.col("rt_class").alias("l1")), "target", "left").join(tier2.select("target", F.col("label").alias("l2")), "target", "left")

@@ -147,6 +147,17 @@ def tier3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return tiers.tier3_neighbours(g)
 
 
+@query(f"""with g as (select distinct gene_id, locus_id target, upper(trim(family, {_B})) f, abs(distance_to_adjacent_bp) rank from neighbor_genes where distance_to_adjacent_bp is not null and locus_id is not null),
+k as (select target, label, label = 'unplaced' nothing, row_number() over (partition by target order by rank, label) rn from (select target, rank, case when f like 'PF%' then f else 'unplaced' end label from g)),
+a as (select target, list(label order by rn) labels, count(*) n, count(*) filter (where nothing) nothing from k where rn <= 5 group by 1)
+select target, case when nothing * 2 > n then 'novel' else labels[1] end label from a where nothing * 2 > n or (n = 5 and len(list_distinct(labels)) = 1)""")
+def tier3_families(spark: SparkSession, d: str) -> DataFrame:
+    """Tier 3 of every locus by the whole families of its nearest genes."""
+    g = table(spark, d, "neighbor_genes").where("distance_to_adjacent_bp is not null and locus_id is not null")
+    g = g.select("gene_id", F.col("locus_id").alias("target"), key_form("family").alias("f"), F.abs("distance_to_adjacent_bp").alias("rank")).distinct()
+    return tiers.tier3_assign(g.select("target", F.when(F.col("f").startswith("PF"), F.col("f")).otherwise("unplaced").alias("label"), "rank"))
+
+
 @query(f"""with p as (select distinct protein_id, upper(trim(cluster_id, {_B})) k, coalesce(length, 0) v from proteins where cluster_id is not null),
 t as (select k, list_sort(list(v))[(floor(0.8 * (count(*) - 1)))::int + 1] target from p group by 1),
 r as (select p.k, protein_id, row_number() over (partition by p.k order by abs(v - target), protein_id) rn from p join t on t.k = p.k)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators import abundance, best, graph, logs, ranking, sampling, textscan, tiers
+from strandmill.plans import reference
 from strandmill.sources import delimited, logs as log_files, sequences
 from strandmill.streaming import ledger
 
@@ -124,6 +125,14 @@ def test_tier1_floor(spark):
     assert {tuple(r) for r in tiers.tier1_assign(hits, {"Z": 60.0, "S": 150.1}).collect()} == {("at", "X"), ("margin", "X"), ("own", "Z")}
 
 
+def test_tier3_whole_families_and_few_neighbours(spark, tmp_path):
+    loci = {"same": ["PF00078", " pf00078", "PF00078 ", "pf00078", "PF00078"], "kin": ["PF00078", "PF00079", "PF00078", "PF00078", "PF00078"], "few": [None, "", "PF00078"], "half": [None, "PF00078"], "four": ["PF00078"] * 4, "lone": ["CLUSTER:1"]}
+    rows = [(f"{t}{i}", t, f, 10 * i) for t, fs in loci.items() for i, f in enumerate(fs)]
+    spark.createDataFrame(rows, "gene_id string, locus_id string, family string, distance_to_adjacent_bp int").write.parquet(str(tmp_path / "neighbor_genes.parquet"))
+    got = reference.tier3_families(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("same", "PF00078"), ("few", "novel"), ("lone", "novel")}
+
+
 def test_quotas(spark):
     sizes = spark.createDataFrame([("s", "a", 10), ("s", "b", 100), ("s", "c", 50), ("t", "d", 20), ("t", "e", 25)], "scope string, g string, size int")
     got = {r.g: r.quota for r in sampling.proportional_quotas(sizes, ["scope"], "g", "size", 40).collect()}
