@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import key_form
 from ..operators.chunks import distinct_per_key
-from ..operators.hierarchy import cycles, hierarchy, latest_links
+from ..operators.hierarchy import ancestor_pairs, cycles, hierarchy, latest_links
 from ..operators.periods import periods_and_gaps
 from ..operators.references import orphan_counts, orphan_references
 from .tables import table
@@ -27,6 +27,12 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return tree.select(F.col("node").alias("task_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"), "dangling", "n_descendants")
 
 
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every task, with its distance."""
+    pairs = ancestor_pairs(hierarchy(latest_links(table(spark, d, "task_records"))))
+    return pairs.select(F.col("ancestor").alias("task_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
+
+
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     """Distinct members of every representative, beside the size its cluster states."""
     counts = distinct_per_key(table(spark, d, "clu_cluster"), key_form("c0"), key_form("c1"))
@@ -56,7 +62,7 @@ def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphans(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p4_found": p4_found, "p4_members": p4_members, "p6_found": p6_found, "p6_monthly": p6_monthly}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_members": p4_members, "p6_found": p6_found, "p6_monthly": p6_monthly}
 
 _KEY = "upper(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -117,6 +123,12 @@ below as (select up, count(*) n from (select node, unnest(str_split(path, '/'))
 select l.node task_id, d.root root_id, d.depth::int depth, d.path, l.parent is not null and l.parent not in (select node from links) dangling,
        case when d.root is not null then coalesce(b.n, 0) end::bigint n_descendants
 from links l left join down d on d.node = l.node left join below b on b.up = l.node""",
+    "p3_descendants": f"""
+with recursive {_LINKS},
+down as (
+  select node, [node] path from links where parent is null or parent not in (select node from links)
+  union all select e.node, list_append(d.path, e.node) from down d join edges e on e.parent = d.node)
+select path[i] task_id, node descendant_id, (len(path) - i)::int distance from (select node, path, unnest(range(1, len(path))) i from down)""",
     "p4_members": f"""
 with m as (select {_k('c0')} c0, count(distinct {_k('c1')}) n_members from clu_cluster where c0 is not null group by 1),
 s as (select {_k('representative_protein_id')} c0, size, row_number() over (partition by {_k('representative_protein_id')} order by loaded_at desc nulls last, size desc nulls last) rn from clusters)
