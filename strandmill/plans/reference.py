@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import key_form, task_key
 from ..functions.sequences import distinct_letters, gc_fraction, kmers, reverse_complement
 from ..operators import abundance, arrays, best, census, graph, intervals, logs, partners, ranking, runs, sampling, textscan, tiers, words
-from ..session import ensure_checkpoint_dir, spread
+from ..session import cut, ensure_checkpoint_dir, spread
 from ..streaming import ledger
 from .tables import table
 
@@ -363,6 +363,30 @@ def scanned_arrays(spark: SparkSession, d: str) -> DataFrame:
     return arrays.scan_arrays(_sequences(spark, d), "protein_id", "seq", word=4, seeds=20, mismatches=1, shuffles=100)
 
 
+def _dna(spark: SparkSession, d: str, size: int) -> DataFrame:
+    """DNA-like windows of the whole text of every document."""
+    return cut(arrays.all_windows(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", size))
+
+
+@query()
+def dna_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned arrays with the words, mismatches and shuffles of upstream windows."""
+    return arrays.scan_arrays(_dna(spark, d, arrays.SCAN_WINDOW), "locus", "seq")
+
+
+@query()
+def delimited_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return arrays.delimit_arrays(_dna(spark, d, arrays.CHAIN_WINDOW), "locus", "seq")
+
+
+@query()
+def extended_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Delimited arrays with the copies that the weight matrix of their repeat adds."""
+    windows = _dna(spark, d, arrays.CHAIN_WINDOW)
+    found = cut(arrays.delimit_arrays(windows, "locus", "seq"))
+    return arrays.extend_arrays(windows, arrays.repeat_blocks(windows, found))
+
+
 # Sampling, partners, abundance, games
 
 
