@@ -53,5 +53,35 @@ def test_random_nested_touching_and_long(spark):
     assert set(got) == brute(rows)
 
 
+def test_microseconds_beyond_32_bits(spark):
+    rng = np.random.default_rng(8)
+    year, top = 365 * 86400 * 10**6, 2**63 - 1
+    base = 4_102_444_800 * 10**6
+    rows = [("user", base, base + 3600 * 10**6), ("user", base + 3600 * 10**6 + 1, base + 2 * year), ("user", base + 10, base + 20), ("user", base + 3 * year, base + 3 * year), ("user", base + 3 * year - 3, base + 3 * year - 2)]
+    rows += [("all", -top - 1, top), ("all", 5, 9), ("ends", -top - 1, -top - 1), ("ends", top, top), ("half", -top - 1, -1), ("half", 1, top)]
+    # Whole bins of every stratum with holes between them, and small ones inside and beside.
+    for bits in (16, 32, 48):
+        at = 1 << bits
+        rows += [(f"s{bits}", 3, 5 * at), (f"s{bits}", 7 * at, 9 * at - 1), (f"s{bits}", 9 * at, 11 * at + 2)] + [(f"s{bits}", int(a), int(a + n)) for a, n in zip(rng.integers(0, 16 * at, 80), rng.integers(0, at // 8, 80))]
+    for k in "pq":
+        at = rng.integers(0, 3 * year, 150)
+        rows += [(k, base + int(a), base + int(a + n)) for a, n in zip(at, rng.integers(0, 86400 * 10**6, 150))]
+    df = spark.createDataFrame(rows * 2, "k string, s bigint, e bigint")
+    got = [tuple(r) for r in periods_and_gaps(df, "k", "e", "s").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_hot_key_over_many_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", int(a), int(a + n)) for a, n in zip(rng.integers(0, 10**12, 3000), rng.integers(0, 10**8, 3000))] + [("hot", 4 * 10**11, 6 * 10**11)] + [(f"k{i % 50}", i * 10**9, i * 10**9 + 5) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = [tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, "k string, s bigint, e bigint"), "k", "s", "e").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
