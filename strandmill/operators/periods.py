@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_partitions
+from ..session import cut, kept, shuffle_partitions
 
 BITS = 16
 SIZE = 1 << BITS
@@ -270,7 +270,7 @@ def _coalesce(stretches: DataFrame) -> DataFrame:
     """Periods, gaps and inside bins (SPAN_DDL) of stretches that may touch or overlap, coalesced over the whole line of each key."""
     n = shuffle_partitions(stretches.sparkSession)
     # The range's number is a column, since a union numbers tasks anew.
-    ordered = cut(cut(stretches).repartitionByRange(n, "k", "lo").sortWithinPartitions("k", "lo", F.desc("what")).withColumn("pid", F.spark_partition_id()))
+    ordered = cut(stretches.repartitionByRange(n, "k", "lo").sortWithinPartitions("k", "lo", F.desc("what")).withColumn("pid", F.spark_partition_id()))
     ends = {r["pid"]: r for r in ordered.mapInArrow(_range_ends, "pid bigint, first string, last string, top bigint, whole bigint").collect()}  # one row a range
     carried, state = {}, (None, LEAST, LEAST)
     for pid, e in sorted(ends.items()):
@@ -292,7 +292,7 @@ def _cover(rows: DataFrame) -> DataFrame:
     low, high = F.col("lo").bitwiseAND(F.lit(MASK)), F.col("hi").bitwiseAND(F.lit(MASK))
     ends = F.when(F.col("b0") == F.col("b1"), F.array(piece(F.col("b0"), low, high))).otherwise(F.array(piece(F.col("b0"), low, F.lit(MASK)), piece(F.col("b1"), F.lit(0), high)))
     pieces = rows.select("k", F.inline(ends)).mapInArrow(_combine, PIECE_DDL)
-    spans = pieces.repartition("k", "bin").sortWithinPartitions("k", "bin").mapInArrow(_spans, SPAN_DDL)
+    spans = kept(pieces.repartition("k", "bin").sortWithinPartitions("k", "bin").mapInArrow(_spans, SPAN_DDL))
     final, edges = spans.where(F.col("what") <= GAP), spans.where(F.col("what") >= FIRST)
 
     # Wholly covered bins: intervals of bin numbers, solved one stratum higher.
