@@ -6,8 +6,9 @@ each partition reports its first and last key with their rows. Prefix sums over
 reports (one small row a partition) give the offset at which a partition's first key
 continues; every other key of a partition starts there at 0. A second pass numbers the
 rows of each key exactly, cuts them into chunks of equal size and reduces each chunk
-to a state with its first and last value. Merging a key's states in order gives the
-result; where two neighbours share the value at their boundary it counts once.
+to a state with its first and last value. A partition merges its states of one key in
+order, so that one state a key and partition is left to merge; where two neighbours
+share the value at their boundary it counts once.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _count_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 EDGES = pa.schema([("pid", pa.int32()), ("first_key", pa.string()), ("first_rows", pa.int64()), ("last_key", pa.string()), ("last_rows", pa.int64())])
-STATES = pa.schema([("k", pa.string()), ("chunk", pa.int64()), ("at", pa.int64()), ("n_rows", pa.int64()), ("n_values", pa.int64()), ("first", pa.string()), ("last", pa.string())])
+STATES = pa.schema([("k", pa.string()), ("at", pa.int64()), ("n_rows", pa.int64()), ("n_values", pa.int64()), ("first", pa.string()), ("last", pa.string())])
 
 
 def offsets(edges: list) -> dict[int, int]:
@@ -73,34 +74,64 @@ def offsets(edges: list) -> dict[int, int]:
     return at
 
 
+def _pieces(batch: pa.RecordBatch, number: int, goes_on: bool, size: int) -> tuple[pa.RecordBatch, int]:
+    """A state for each part of a chunk in the batch, in order, and the number of the last row within its key.
+
+    number is that of the first row if its key goes on from the batch before.
+    """
+    n = batch.num_rows
+    k, v = batch.column("k"), batch.column("v")
+    new_key = _runs(k)
+    heads = np.flatnonzero(new_key)
+    # Row numbers within the key: from the head of its run, or on from where the key stood.
+    numbers = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+    if goes_on:
+        numbers[: heads[1] if len(heads) > 1 else n] += number
+    chunk = numbers // size
+    cut_ = new_key.copy()
+    cut_[1:] |= chunk[1:] != chunk[:-1]
+    piece = np.flatnonzero(cut_)
+    ends = np.append(piece[1:], n)
+    # A value is new in its piece if it is not null and differs from the one before or begins the piece.
+    fresh = (_runs(v) | cut_) & ~pc.is_null(v).to_numpy(zero_copy_only=False)
+    values = np.add.reduceat(fresh.astype(np.int64), piece)
+    take = lambda c, i: c.take(pa.array(i))
+    made = pa.RecordBatch.from_arrays([take(k, piece), pa.array(numbers[piece]), pa.array(ends - piece), pa.array(values), take(v, piece), take(v, ends - 1)], schema=STATES)
+    return made, int(numbers[-1])
+
+
+def _merged(states: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring states of one key merged in order; a value at both sides of a boundary counts once."""
+    k, first, last = (states.column(c) for c in ("k", "first", "last"))
+    new = _runs(k)
+    again = np.zeros(len(new), np.int64)
+    again[1:] = pc.fill_null(pc.equal(first.slice(1), last.slice(0, len(new) - 1)), False).to_numpy(zero_copy_only=False)
+    again[new] = 0
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(new)) - 1
+    total = lambda c: np.add.reduceat(np.asarray(c), heads)
+    take = lambda c, i: c.take(pa.array(i))
+    return pa.RecordBatch.from_arrays([take(k, heads), take(states.column("at"), heads), pa.array(total(states.column("n_rows"))), pa.array(total(states.column("n_values")) - total(again)), take(first, heads), take(last, tails)], schema=STATES)
+
+
 def _chunk_states(at: dict[int, int], size: int):
+    """The merged state of each key of a partition."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, open_key = at.get(TaskContext.get().partitionId(), 0), None
-        begun = False
+        number, open_ = at.get(TaskContext.get().partitionId(), 0), None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            k, v = batch.column("k"), batch.column("v")
-            new_key = _runs(k)
-            goes_on = not begun or k[0].as_py() == open_key
-            heads = np.flatnonzero(new_key)
-            # Row numbers within the key: from the head of its run, or on from where the key stood.
-            base = np.repeat(heads, np.diff(np.append(heads, n)))
-            numbers = np.arange(n) - base
-            if goes_on:
-                numbers[: heads[1] if len(heads) > 1 else n] += number
-            chunk = numbers // size
-            cut_ = new_key.copy()
-            cut_[1:] |= chunk[1:] != chunk[:-1]
-            piece = np.flatnonzero(cut_)
-            ends = np.append(piece[1:], n)
-            # A value is new in its piece if it is not null and differs from the one before or begins the piece.
-            fresh = (_runs(v) | cut_) & ~pc.is_null(v).to_numpy(zero_copy_only=False)
-            values = np.add.reduceat(fresh.astype(np.int64), piece)
-            take = lambda c, i: c.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([take(k, piece), pa.array(chunk[piece]), pa.array(numbers[piece]), pa.array(ends - piece), pa.array(values), take(v, piece), take(v, ends - 1)], schema=STATES)
-            open_key, number, begun = k[n - 1].as_py(), int(numbers[-1]) + 1, True
+            states, last = _pieces(batch, number, open_ is None or batch.column("k")[0] == open_.column("k")[0], size)
+            if open_ is not None:
+                states = pa.Table.from_batches([open_, states]).combine_chunks().to_batches()[0]
+            states = _merged(states)
+            # The last key may go on in the next batch.
+            if states.num_rows > 1:
+                yield states.slice(0, states.num_rows - 1)
+            open_, number = states.slice(states.num_rows - 1), last + 1
+        if open_ is not None:
+            yield open_
 
     return work
 
@@ -116,8 +147,8 @@ def distinct_per_key(df: DataFrame, key: Column, value: Column, chunk_rows: int
     n = partitions or shuffle_partitions(df.sparkSession)
     ordered = cut(rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, "k", "v", "tie").sortWithinPartitions("k", "v").select("k", "v"))
     edges = ordered.mapInArrow(_count_edges, "pid int, first_key string, first_rows bigint, last_key string, last_rows bigint").collect()  # one row a partition
-    states = ordered.mapInArrow(_chunk_states(offsets(edges), chunk_rows), "k string, chunk bigint, at bigint, n_rows bigint, n_values bigint, first string, last string")
-    # One state for each chunk and Arrow batch of a key, merged in order.
+    states = ordered.mapInArrow(_chunk_states(offsets(edges), chunk_rows), "k string, at bigint, n_rows bigint, n_values bigint, first string, last string")
+    # At most one state a partition of a key, merged in order.
     w = Window.partitionBy("k").orderBy("at")
     states = states.withColumn("again", F.when(F.col("first") == F.lag("last").over(w), 1).otherwise(0))
-    return states.groupBy(F.col("k").alias("key")).agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_values") - F.col("again")).alias("n_values"), F.count_distinct("chunk").alias("n_chunks"))
+    return states.groupBy(F.col("k").alias("key")).agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_values") - F.col("again")).alias("n_values"), F.ceil(F.sum("n_rows") / chunk_rows).alias("n_chunks"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandmill.operators import chunks
 from strandmill.operators.chunks import distinct_per_key, offsets
 
 
@@ -35,3 +36,14 @@ def test_empty(spark):
 def test_offsets_run_through_partitions_of_one_key():
     edge = lambda pid, f, fn, l, ln: {"pid": pid, "first_key": f, "first_rows": fn, "last_key": l, "last_rows": ln}
     assert offsets([edge(0, "a", 5, "b", 3), edge(1, "b", 4, "b", 4), edge(2, "b", 1, "c", 2), edge(4, "d", 1, "d", 1)]) == {0: 0, 1: 3, 2: 7, 4: 0}
+
+
+def test_a_hot_key_sends_one_state_a_partition(spark):
+    rows = [("hot", f"{i // 3:06d}") for i in range(45_000)] + [("cold", str(i)) for i in range(3000)]
+    ordered = spark.createDataFrame(rows, "k string, v string").repartitionByRange(4, "k", "v").sortWithinPartitions("k", "v")
+    edges = ordered.mapInArrow(chunks._count_edges, "pid int, first_key string, first_rows bigint, last_key string, last_rows bigint").collect()
+    states = ordered.mapInArrow(chunks._chunk_states(offsets(edges), 500), "k string, at bigint, n_rows bigint, n_values bigint, first string, last string").where("k = 'hot'").collect()
+    assert 2 <= len(states) <= 4 and sum(s.n_rows for s in states) == 45_000
+    assert max(s.n_rows for s in states) < 2 * 48_000 / 4
+    got = {r.key: (r.n_rows, r.n_values, r.n_chunks) for r in distinct_per_key(spark.createDataFrame(rows, "k string, v string"), F.col("k"), F.col("v"), 500, 4).collect()}
+    assert got == {"hot": (45_000, 15_000, 90), "cold": (3000, 3000, 6)}
