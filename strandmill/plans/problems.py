@@ -9,7 +9,7 @@ from ..functions.keys import key_form
 from ..operators.chunks import distinct_per_key
 from ..operators.hierarchy import ancestor_pairs, cycles, hierarchy, latest_links
 from ..operators.periods import periods_and_gaps
-from ..operators.references import orphan_counts, orphan_references
+from ..operators.references import Reference, all_orphan_references, orphan_counts
 from .tables import table
 
 
@@ -48,10 +48,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     proteins, contigs = table(spark, d, "proteins"), table(spark, d, "contigs")
     clusters, biosamples = table(spark, d, "clusters"), table(spark, d, "biosamples")
-    of_cluster = orphan_references(proteins, clusters, "proteins.cluster_id", "protein_id", key_form("cluster_id"), "loaded_at", key_form("cluster_id"))
-    of_contig = orphan_references(proteins, contigs, "proteins.contig_id", "protein_id", key_form("contig_id"), "loaded_at", key_form("contig_id"))
-    of_sample = orphan_references(contigs, biosamples, "contigs.biosample_id", "contig_id", key_form("biosample_id"), "loaded_at", key_form("biosample_id"))
-    return of_cluster.unionByName(of_contig).unionByName(of_sample)
+    of_proteins = [Reference("proteins.cluster_id", key_form("cluster_id"), clusters, key_form("cluster_id")), Reference("proteins.contig_id", key_form("contig_id"), contigs, key_form("contig_id"))]
+    of_contigs = [Reference("contigs.biosample_id", key_form("biosample_id"), biosamples, key_form("biosample_id"))]
+    return all_orphan_references(proteins, "protein_id", "loaded_at", of_proteins).unionByName(all_orphan_references(contigs, "contig_id", "loaded_at", of_contigs))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
