@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, kept, shuffle_partitions
 
 #: c of the size function; the number of centroids of a digest is at most about this.
 COMPRESSION = 200
 #: Rows of a task that are digested together; bounds its memory.
 HELD = 1 << 20
+#: Distinct values of a group that are ordered in one window at most; more are ordered over ranges of value.
+WINDOW_VALUES = 1 << 18
 
 DIGEST_DDL = "g string, mean array<double>, weight array<bigint>, low array<double>, high array<double>"
 SCHEMA = pa.schema([("g", pa.string()), ("mean", pa.list_(pa.float64())), ("weight", pa.list_(pa.int64())), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
@@ -186,44 +188,67 @@ def median_bounds(digests: DataFrame, slack: float, least: int = 1) -> DataFrame
     return many.unionByName(exact.withColumn("pure", F.col("lo") == F.col("hi")))
 
 
-def exact_medians(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(g, n, median): exact, by counting (g, v) rows below and between the bounds.
+def exact_medians(rows: DataFrame, bounds: DataFrame, most: int = WINDOW_VALUES) -> tuple[DataFrame, DataFrame]:
+    """(g, n, median): exact, by counting (g, v) rows below and between the bounds; and (g, n) of the groups whose bounds don't hold their middle.
 
-    A group whose bounds turn out not to hold its middle is counted over its whole range.
+    The latter are counted over their whole range.
     """
     joined = rows.join(bounds.where("not pure").drop("pure"), "g").where(F.col("v") <= F.col("hi"))
     counted = joined.groupBy("g", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
-    first = _order_statistics(counted)
+    first = cut(_order_statistics(counted, most))
     lost = cut(bounds.where("not pure").join(first.select("g"), "g", "left_anti").select("g", "n"))
-    parts = [bounds.where("pure").select("g", "n", ((F.col("lo") + F.col("hi")) / 2).alias("median")), first]
+    out = bounds.where("pure").select("g", "n", ((F.col("lo") + F.col("hi")) / 2).alias("median")).unionByName(first)
     if not lost.isEmpty():
-        parts.append(_order_statistics(rows.join(lost, "g").groupBy("g", "n", "v").agg(F.count("*").alias("c"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(_order_statistics(rows.join(lost, "g").groupBy("g", "n", "v").agg(F.count("*").alias("c")), most))
+    return out, lost
 
 
-def _order_statistics(counted: DataFrame) -> DataFrame:
-    """(g, n, median) of groups whose two middle ranks lie on counted values; a null value stands for all below."""
+def _order_statistics(counted: DataFrame, most: int) -> DataFrame:
+    """(g, n, median) of groups whose two middle ranks lie on counted values; a null value stands for all below.
+
+    Groups with up to most counted values are ordered in a window; those with more are
+    put into ranges of value, and the counts of the ranges before give a range's first rank.
+    """
+    counted = kept(counted)
+    large = cut(counted.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > most).select("g"))
     w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first())
-    c = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("c"))
+    if large.isEmpty():
+        return _middle(counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    few = counted.join(large, "g", "left_anti").withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _middle(few).unionByName(_middle(_ranked(counted.join(large, "g", "left_semi"))))
+
+
+def _middle(c: DataFrame) -> DataFrame:
+    c = c.withColumn("before", F.col("upto") - F.col("c"))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     holds = lambda r: (F.col("before") < r) & (F.col("upto") >= r) & F.col("v").isNotNull()
     m = c.groupBy("g", "n").agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))
     return m.where("a is not null and b is not null").select("g", "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
-def far_from_median(df: DataFrame, row_id: str, group: str, value: str, least: int = 20, factor: float = 2.0, compression: int = COMPRESSION) -> DataFrame:
+def _ranked(counted: DataFrame) -> DataFrame:
+    """counted with upto, the rows of the group up to and at v; every group may lie in many ranges."""
+    n = shuffle_partitions(counted.sparkSession)
+    ranges = cut(counted.repartitionByRange(n, "g", F.col("v").asc_nulls_first()).withColumn("pid", F.spark_partition_id()))
+    # Few rows: one for each range and group that lies in it.
+    sums = ranges.groupBy("g", "pid").agg(F.sum("c").alias("here"))
+    before = sums.withColumn("ahead", F.coalesce(F.sum("here").over(Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("here")
+    w = Window.partitionBy("g", "pid").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return ranges.join(before, ["g", "pid"]).withColumn("upto", F.col("ahead") + F.sum("c").over(w)).drop("ahead", "pid")
+
+
+def far_from_median(df: DataFrame, row_id: str, group: str, value: str, least: int = 20, factor: float = 2.0, compression: int = COMPRESSION, most: int = WINDOW_VALUES) -> DataFrame:
     """(row_id, group, value, median) of rows above factor times, or below 1 / factor of, their group's exact median.
 
     Groups with fewer than least rows have no cases. Digests bound every median, a
-    counting pass makes it exact, and only rows outside the bounds' reach can be cases.
-    Null groups and null, NaN or infinite values are left out; df has one row an id.
+    counting pass makes it exact, and only rows outside the bounds' reach can be cases;
+    of a group whose bounds miss its middle all rows are looked at. Null groups and null,
+    NaN or infinite values are left out; df has one row an id.
     """
-    rows = df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null and not isnan(v) and abs(v) < double('infinity')")
+    rows = kept(df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null and not isnan(v) and abs(v) < double('infinity')"))
     bounds = cut(median_bounds(digest(rows, "g", "v", compression), 2.0 / compression, least))
-    medians = exact_medians(rows.select("g", "v"), bounds)
-    maybe = rows.join(bounds.select("g", "lo", "hi"), "g").where((F.col("v") > factor * F.col("lo")) | (factor * F.col("v") < F.col("hi"))).drop("lo", "hi")
+    medians, lost = exact_medians(rows.select("g", "v"), bounds, most)
+    reach = bounds.join(lost.select("g", F.lit(True).alias("lost")), "g", "left").select("g", "lo", "hi", F.coalesce("lost", F.lit(False)).alias("lost"))
+    maybe = rows.join(reach, "g").where(F.col("lost") | (F.col("v") > factor * F.col("lo")) | (factor * F.col("v") < F.col("hi"))).drop("lo", "hi", "lost")
     found = maybe.join(medians.select("g", "median"), "g").where((F.col("v") > factor * F.col("median")) | (factor * F.col("v") < F.col("median")))
     return found.select("id", "g", "v", "median")

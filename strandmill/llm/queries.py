@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import key_form
 from ..plans.tables import table
-from ..session import cut
+from ..session import cut, kept
 from .bpe import count_tokens, encode_documents
 from .cooccurrence import cooccurrence
 from .digests import certify, digest, digest_quantiles, far_from_median
@@ -34,7 +34,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Estimated percentiles of every cluster's lengths with their certified rank errors."""
-    rows = cut(_lengths(spark, d).select("cluster_id", "length"))
+    rows = kept(_lengths(spark, d).select("cluster_id", "length"))
     estimates = cut(digest_quantiles(digest(rows, "cluster_id", "length"), [0.1, 0.25, 0.5, 0.75, 0.9]))
     return certify(rows, "cluster_id", "length", estimates).select(F.col("g").alias("cluster_id"), "n", "q", "estimate", "rank_error")
 

@@ -5,6 +5,7 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandmill.llm import digests
 from strandmill.llm.digests import certify, digest, digest_quantiles, far_from_median, merge_digests
 
 DDL = "id string, grp string, v double, g string, n long, lo double"
@@ -59,6 +60,24 @@ def test_exact_medians_name_the_far_ones(spark):
         assert got == want
 
 
+def test_groups_ordered_over_ranges_and_bounds_that_miss(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"h{i}", "hot", rng.lognormvariate(2, 1)) for i in range(6000)] + [(f"t{i}", "tied", float(rng.choice([1, 2, 2, 9]))) for i in range(400)] + [(f"o{i}", "odd", float(i * i)) for i in range(61)]
+    by = {}
+    for i, k, v in rows:
+        by.setdefault(k, []).append((i, v))
+    want = set()
+    for xs in by.values():
+        m = statistics.median(v for _, v in xs)
+        want |= {(i, m) for i, v in xs if v > 2 * m or 2 * v < m}
+    run = lambda most: {(r.id, r.median) for r in far_from_median(frame(spark, rows), "id", "grp", "v", most=most).collect()}
+    assert run(10) == want
+    # Bounds far above every middle: all groups are counted again, and no row is lost to the bounds.
+    right = digests.median_bounds
+    monkeypatch.setattr(digests, "median_bounds", lambda *a: right(*a).withColumns({"lo": F.col("hi") * 40, "hi": F.col("hi") * 50, "pure": F.lit(False)}))
+    assert run(10) == want and run(10**6) == want
+
+
 def test_empty_and_one_value(spark):
     df = frame(spark, [])
     assert digest(df, "grp", "v").collect() == [] and far_from_median(df, "id", "grp", "v").collect() == []
