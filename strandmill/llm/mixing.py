@@ -8,97 +8,70 @@ as long as they can, and only then by the relatives of its ancestors. A leaf's b
 is spent in epochs, each a seeded order of its documents: whole epochs first, then a
 prefix of the next by tokens.
 
-Only totals of leaves pass through the driver, whose number is checked. The prefix is
+Nodes are rows, of any number; each level is one step over all of them. The prefix is
 found through sums over 4,096 hash ranges of the order; rows are put in order only
 within the one range of a leaf where its budget ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More leaves than this are refused (they pass through the driver).
-MAX_LEAVES = 100_000
+from ..session import cut
+
 RANGES = 12
+#: Leaves up to this many are broadcast to their documents (their number is checked); more are joined by shuffle.
+BROADCAST_LEAVES = 20_000
 
 
-@dataclass
-class Leaf:
-    """path from the top; tokens held; how often a document may be used; the weight, or None to share by tokens."""
-
-    path: tuple[str, ...]
-    tokens: int
-    max_repeats: int
-    weight: float | None = None
-    budget: int = 0
-
-    @property
-    def capacity(self) -> int:
-        return self.tokens * self.max_repeats
-
-
-def _fill(budget: float, weights: Sequence[float], capacities: Sequence[float]) -> list[float]:
-    """The budget split by weights, no part above its capacity; what a full part can't take goes to the others."""
-    got = [0.0] * len(weights)
-    open_ = [i for i, w in enumerate(weights) if w > 0 and capacities[i] > 0]
-    left = min(float(budget), float(sum(capacities[i] for i in open_)))
-    while open_ and left > 0:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total >= capacities[i]]
-        if not full:
-            for i in open_:
-                got[i] = left * weights[i] / total
-            break
-        for i in full:
-            got[i] = float(capacities[i])
-        left -= sum(got[i] for i in full)
-        open_ = [i for i in open_ if i not in full]
-    return got
-
-
-def plan_budgets(leaves: list[Leaf], weights: dict[tuple[str, ...], float], total_tokens: int | None = None) -> int:
-    """Sets every leaf's budget; returns the total.
-
-    weights are those of nodes by path; among children with weights, one without has
-    none. Without total_tokens the total is the largest at which every weighted node at
-    the top that has tokens meets its weight.
-    """
+def water_fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """children with got: their parent's budget split by weight, none above its capacity; what a full child can't take goes to its siblings.
 
-    def children(group: list[Leaf], depth: int) -> dict[tuple[str, ...], list[Leaf]]:
-        out: dict[tuple[str, ...], list[Leaf]] = {}
-        for leaf in group:
-            out.setdefault(leaf.path[:depth], []).append(leaf)
-        return dict(sorted(out.items()))
-
-    def shares(nodes: dict[tuple[str, ...], list[Leaf]]) -> list[float]:
-        if any(n in weights for n in nodes):
-            return [max(0.0, weights.get(n, 0.0)) for n in nodes]
-        return [float(sum(x.tokens for x in g)) for g in nodes.values()]
-
-    def down(group: list[Leaf], depth: int, budget: float) -> None:
-        if len(group) == 1 and len(group[0].path) < depth:
-            group[0].budget = min(group[0].capacity, int(budget + 1e-6))
-            return
-        nodes = children(group, depth)
-        for part, g in zip(_fill(budget, shares(nodes), [sum(x.capacity for x in g) for g in nodes.values()]), nodes.values()):
-            down(g, depth + 1, part)
-
-    held = [x for x in leaves if x.capacity > 0]
-    for x in leaves:
-        x.budget = 0
-    if not held:
-        return 0
-    if total_tokens is None:
-        nodes = children(held, 1)
-        w = shares(nodes)
-        whole = sum(w)
-        total_tokens = int(min((sum(x.capacity for x in g) * whole / wi for g, wi in zip(nodes.values(), w) if wi > 0), default=0))
-    down(held, 1, float(total_tokens))
-    return total_tokens
+    children: parent columns, name, weight, capacity, budget (of the parent). In order of
+    capacity per weight the full children come first; the first one that isn't full tells
+    what a unit of weight gets.
+    """
+    open_ = (F.col("weight") > 0) & (F.col("capacity") > 0)
+    c = children.where(open_).withColumn("ratio", F.col("capacity") / F.col("weight"))
+    group = Window.partitionBy(*parent)
+    before = group.orderBy("ratio", name).rowsBetween(Window.unboundedPreceding, -1)
+    rest = group.orderBy("ratio", name).rowsBetween(0, Window.unboundedFollowing)
+    c = c.withColumn("left", F.least(F.col("budget"), F.sum("capacity").over(group).cast("double")) - F.coalesce(F.sum("capacity").over(before), F.lit(0)))
+    c = c.withColumn("unit", F.col("left") / F.sum("weight").over(rest)).withColumn("full", F.col("unit") * F.col("weight") >= F.col("capacity"))
+    c = c.withColumn("unit", F.min(F.when(~F.col("full"), F.struct("ratio", name, "unit"))).over(group)["unit"])
+    c = c.withColumn("got", F.when(F.col("full"), F.col("capacity").cast("double")).otherwise(F.greatest(F.lit(0.0), F.col("unit")) * F.col("weight")))
+    return c.drop("ratio", "left", "unit", "full").unionByName(children.where(~F.coalesce(open_, F.lit(False))).withColumn("got", F.lit(0.0)))
+
+
+def plan_budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """(levels, tokens, max_repeats, budget) of every leaf.
+
+    leaves: the levels (not null), tokens, max_repeats, one row a leaf. weights: the
+    levels, null below the node that the row weighs, and weight; among children of a node
+    of which some have weights, one without has none. Without total_tokens the total is
+    the largest at which every weighted node at the top that has tokens meets its weight.
+    """
+    leaves = leaves.withColumn("capacity", F.greatest(F.lit(0), F.col("tokens") * F.col("max_repeats")))
+    held = cut(leaves.where("capacity > 0"))
+    budgets = None
+    for depth, level in enumerate(levels):
+        above, here = levels[:depth], levels[: depth + 1]
+        given = weights.where(" and ".join([f"`{c}` is not null" for c in here] + [f"`{c}` is null" for c in levels[depth + 1 :]]))
+        given = given.groupBy(*here).agg(F.max(F.greatest(F.lit(0.0), F.col("weight").cast("double"))).alias("given"))
+        nodes = held.groupBy(*here).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens")).join(given, here, "left")
+        nodes = nodes.withColumn("weight", F.when(F.count("given").over(Window.partitionBy(*above)) > 0, F.coalesce("given", F.lit(0.0))).otherwise(F.col("tokens").cast("double")))
+        if depth == 0:
+            if total_tokens is None:
+                top = cut(nodes.where("weight > 0"))
+                whole = top.agg(F.sum("weight")).first()[0] or 0.0
+                total_tokens = int(top.agg(F.min(F.col("capacity") * whole / F.col("weight"))).first()[0] or 0)
+            nodes = nodes.withColumn("budget", F.lit(float(total_tokens)))
+        else:
+            nodes = nodes.join(budgets, above)
+        budgets = cut(water_fill(nodes, above, level).select(*here, F.col("got").alias("budget")))
+    whole_tokens = F.least(F.col("capacity"), F.floor(F.col("budget") + 1e-6))
+    return leaves.join(budgets, levels, "left").select(*levels, "tokens", "max_repeats", F.coalesce(whole_tokens, F.lit(0)).cast("bigint").alias("budget"))
 
 
 def source_key(c: Column | str) -> Column:
@@ -112,32 +85,28 @@ def language_key(c: Column | str) -> Column:
     return F.coalesce(F.when(main != "", main), F.lit("und"))
 
 
-def leaf_totals(docs: DataFrame, levels: list[str], max_leaves: int = MAX_LEAVES) -> list:
-    """Tokens and documents of each leaf; refuses more than max_leaves."""
-    rows = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")).limit(max_leaves + 1).collect()
-    if len(rows) > max_leaves:
-        raise ValueError(f"more than {max_leaves} leaves")
-    return rows
+def _with_leaves(rows: DataFrame, leaves: DataFrame, levels: list[str]) -> DataFrame:
+    """rows joined with one row a leaf; few leaves are broadcast."""
+    few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return rows.join(F.broadcast(leaves) if few else leaves, levels)
 
 
-def take_budgets(docs: DataFrame, levels: list[str], leaves: list[Leaf], seed: int = 1) -> DataFrame:
+def take_budgets(docs: DataFrame, levels: list[str], plan: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, levels, n_tokens and uses (at least 1) of the documents that the leaves' budgets take.
 
     docs has doc_id (unique), the levels (not null) and n_tokens; documents without
-    tokens are never taken. The document at which a leaf's budget ends is taken if at
-    least half of it still fits, so a leaf misses its budget by half a document at most.
+    tokens are never taken. plan: levels, tokens, budget. The document at which a leaf's
+    budget ends is taken if at least half of it still fits, so a leaf misses its budget by
+    half a document at most.
     """
-    spark = docs.sparkSession
-    plan = [(*x.path, x.budget // x.tokens, x.budget - x.budget // x.tokens * x.tokens) for x in leaves if x.budget > 0]
-    ddl = ", ".join(f"`{c}` string" for c in levels) + ", whole bigint, rest bigint"
-    planned = F.broadcast(spark.createDataFrame(plan, ddl))  # one row a leaf, whose number is checked
-    rows = docs.where("n_tokens > 0").join(planned, levels)
+    planned = cut(plan.where("budget > 0 and tokens > 0").select(*levels, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")))
+    rows = _with_leaves(docs.where("n_tokens > 0").select("doc_id", *levels, "n_tokens"), planned, levels)
     order = F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"))
     rows = rows.withColumn("order", order).withColumn("range", F.shiftrightunsigned("order", 64 - RANGES))
     by_leaf = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*levels, "rest", "range").agg(F.sum("n_tokens").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(by_leaf), F.lit(0)))
-    ends = F.broadcast(sums.where("before <= rest and before + here > rest").select(*levels, F.col("range").alias("end_range"), "before"))  # one row a leaf
-    rows = rows.join(ends, levels)
+    ends = cut(sums.where("before <= rest and before + here > rest").select(*levels, F.col("range").alias("end_range"), "before"))
+    rows = _with_leaves(rows, ends, levels)
     inside = Window.partitionBy(*levels).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = rows.where("range = end_range").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
     last = last.withColumn("uses", F.col("whole") + F.when(2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest"), 1).otherwise(0)).drop("upto")
@@ -145,36 +114,30 @@ def take_budgets(docs: DataFrame, levels: list[str], leaves: list[Leaf], seed: i
     return others.unionByName(last).where("uses > 0").select("doc_id", *levels, "n_tokens", F.col("uses").cast("int").alias("uses"))
 
 
+def read_targets(targets: DataFrame) -> DataFrame:
+    """(source, weight, max_repeats), one row a source that asks for anything."""
+    rows = targets.select(source_key("source").alias("source"), "weight", "max_repeats").where("source is not null and weight > 0 and not isnan(weight)")
+    return rows.groupBy("source").agg(F.max("weight").cast("double").alias("weight"), F.greatest(F.lit(0), F.coalesce(F.max("max_repeats"), F.lit(1))).cast("int").alias("max_repeats"))
+
+
 def mix_sources(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The chosen documents with their uses, and the shares reached by every target source.
 
     tokens: doc_id, source (key form), lang (key form), n_tokens. targets: source, weight,
     max_repeats; rows of the same source count once with their greatest values, a null
     weight or one not above 0 asks for nothing, null max_repeats is 1. Sources without a
-    target are left out. A source's languages share its budget by their tokens.
+    target are left out. A source's languages share its budget by their tokens. Without
+    total_tokens no source that has documents falls short.
     """
-    spark = tokens.sparkSession
+    levels = ["source", "lang"]
     goal = read_targets(targets)
-    docs = tokens.where(F.col("source").isin(list(goal)))
-    totals = leaf_totals(docs, ["source", "lang"])
-    leaves = [Leaf((r["source"], r["lang"]), r["tokens"] or 0, goal[r["source"]][1]) for r in totals]
-    plan_budgets(leaves, {(s,): w for s, (w, _) in goal.items()}, total_tokens)
-    chosen = take_budgets(docs, ["source", "lang"], leaves, seed)
-    whole = sum(w for w, _ in goal.values()) or 1.0
-    held: dict[str, int] = {}
-    for x in leaves:
-        held[x.path[0]] = held.get(x.path[0], 0) + x.tokens
-    plan = [(s, w / whole, n, held.get(s, 0), sum(x.budget for x in leaves if x.path[0] == s)) for s, (w, n) in sorted(goal.items())]
-    wanted = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, tokens_held bigint, budget bigint")
+    docs = tokens.join(goal.select("source"), "source", "left_semi")
+    totals = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
+    plan = cut(plan_budgets(totals.join(goal.select("source", "max_repeats"), "source"), levels, goal.select("source", F.lit(None).cast("string").alias("lang"), "weight"), total_tokens))
+    chosen = take_budgets(docs, levels, plan, seed)
+    every = Window.partitionBy()
+    held = plan.groupBy("source").agg(F.sum("tokens").alias("tokens_held"), F.sum("budget").alias("budget"))
+    wanted = goal.select("source", (F.col("weight") / F.sum("weight").over(every)).alias("target_share"), "max_repeats").join(held, "source", "left").fillna(0, ["tokens_held", "budget"])
     used = chosen.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("uses").alias("n_uses"), F.max("uses").alias("most_uses"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"))
     shares = wanted.join(used, "source", "left").fillna(0, ["n_docs", "n_uses", "most_uses", "tokens"])
-    return chosen, shares.withColumn("share", F.col("tokens") / F.greatest(F.lit(1), F.sum("tokens").over(Window.partitionBy())))
-
-
-def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """Weight and repeats by source; refuses more than MAX_LEAVES sources."""
-    rows = targets.select(source_key("source").alias("source"), "weight", "max_repeats").where("source is not null and weight > 0 and not isnan(weight)")
-    rows = rows.groupBy("source").agg(F.max("weight").alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats")).limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} sources")
-    return {r["source"]: (r["weight"], max(0, r["max_repeats"])) for r in rows}
+    return chosen, shares.withColumn("share", F.col("tokens") / F.greatest(F.lit(1), F.sum("tokens").over(every)))

@@ -29,8 +29,10 @@ STATS = ("words_per_line", "word_length", "symbol_ratio", "digit_ratio", "end_pu
 FLOORS = np.array([0.15, 0.25, 0.02, 0.02, 0.10, 0.03, 0.08, 0.03, 0.03, 0.05])
 #: 0.975 and 1 - 1e-7 quantiles of chi-square with len(STATS) degrees of freedom.
 NEAR, FAR = 20.48, 52.31
-#: Languages with fewer documents near their centre use the fit of all languages together.
+#: Languages with fewer documents near their centre use the fit of all languages together (a parameter of text_quality).
 LEAST_DOCS = 40
+#: Words of the list of common words that are sent to every task at once; a longer list is looked up in blocks of about so many.
+WORD_BLOCK = 100_000
 POOLED = "*"
 
 _TIME = r"\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?"
@@ -89,21 +91,35 @@ def _cells(line: str) -> int:
     return found if sum(map(str.isalnum, solid)) * 5 >= 2 * len(solid) else 0
 
 
+def line_words(text: str) -> tuple[list[str], list[list[str]]]:
+    """The spoken lines, and the words of each in lower case."""
+    lines = spoken_lines(text)
+    return lines, list(map(_WORD.findall, "\n".join(lines).lower().split("\n")))
+
+
+def common_hits(per_line: list[list[str]], common: dict[str, frozenset[str]]) -> dict[str, tuple[int, list[int]]]:
+    """By language, how many of the words are on its list, and the numbers of the lines that hold one; languages without any left out."""
+    every = frozenset().union(*common.values()) if len(common) != 1 else next(iter(common.values()))
+    frequent = Counter(w for ws in per_line for w in ws if w in every)
+    found = {lang: n for lang, known in common.items() if (n := sum(c for w, c in frequent.items() if w in known))}
+    return {lang: (n, [i for i, ws in enumerate(per_line) if not common[lang].isdisjoint(ws)]) for lang, n in found.items()}
+
+
+def told_language(hits: dict[str, tuple[int, list[int]]]) -> str | None:
+    """The language with most hits, ties to the first by name."""
+    return max(sorted(hits), key=lambda lang: hits[lang][0]) if hits else None
+
+
 def text_statistics(text: str, common: dict[str, frozenset[str]]) -> tuple[str | None, int, int, list[float]]:
     """The language by its common words (or None), lines, words, and the figures named in STATS."""
-    lines = spoken_lines(text)
+    lines, per_line = line_words(text)
     body = "\n".join(lines)
     low = body.lower()
-    per_line = list(map(_WORD.findall, low.split("\n")))
     words = [w for ws in per_line for w in ws]
     n_lines, n_words = max(len(lines), 1), max(len(words), 1)
-    every = frozenset().union(*common.values()) if len(common) != 1 else next(iter(common.values()))
-    frequent = Counter(filter(every.__contains__, words))
-    hits = {lang: sum(n for w, n in frequent.items() if w in known) for lang, known in common.items()}
-    lang = max(sorted(hits), key=hits.__getitem__) if hits else None
-    if lang is not None and not hits[lang]:
-        lang = None
-    known = common[lang] if lang else frozenset()
+    hits = common_hits(per_line, common)
+    lang = told_language(hits)
+    n_common, with_common = hits[lang] if lang else (0, [])
     letters = sum(map(len, words))
     digits = sum(map(len, re.findall(r"\d+", body)))
     tokens = body.split()
@@ -116,8 +132,8 @@ def text_statistics(text: str, common: dict[str, frozenset[str]]) -> tuple[str |
         max(solid - letters - digits, 0) / solid,
         digits / solid,
         sum(x[-1] in _FIRM_END for x in lines) / n_lines,
-        hits[lang] / n_words if lang else 0.0,
-        sum(not known.isdisjoint(ws) for ws in per_line) / n_lines if lang else 0.0,
+        n_common / n_words,
+        len(with_common) / n_lines,
         strange / letters if letters else 0.0,
         min(1.0, odd / n_words),
         sum(map(bool, map(_cells, lines))) / n_lines if _CELLS.search(body) else 0.0,
@@ -178,50 +194,88 @@ def _moments(fits: dict[str, Fit]):
     return work
 
 
-def _from_moments(moments: DataFrame) -> dict[str, Fit]:
+def _from_moments(moments: DataFrame, least_docs: int) -> dict[str, Fit]:
     """At most one fit for each language of the list of common words, and the pooled one."""
     p, found = len(STATS), {}
     for r in moments.groupBy("language", "at").agg(F.sum("value").alias("value")).collect():
         found.setdefault(r["language"], np.zeros(1 + p + p * p))[r["at"]] = r["value"]
-    return {name: _fit(t[0], t[1 : 1 + p], t[1 + p :].reshape(p, p)) for name, t in found.items() if t[0] >= (1 if name == POOLED else LEAST_DOCS)}
+    return {name: _fit(t[0], t[1 : 1 + p], t[1 + p :].reshape(p, p)) for name, t in found.items() if t[0] >= (1 if name == POOLED else least_docs)}
 
 
-def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, language, n_lines, n_words and the figures named in STATS, of documents with text.
-
-    Documents whose text is null, empty or blank have no figures and no row. language is
-    the one whose common words the text uses most (ties: the first by name), else the
-    main part of the lang column if the list knows it, else "*". Repeated rows stay.
-    """
-    # The list of common words is a small fixed table; more words than this are refused, not cut.
-    words = common_words.where("lang is not null and word is not null").select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).distinct().limit(100_001).collect()
-    if len(words) > 100_000:
-        raise ValueError("the list of common words is too long to be sent to every task")
+def _by_language(words: DataFrame) -> dict[str, frozenset[str]]:
+    """A bounded list (lang, word) by language."""
     common: dict[str, set[str]] = {}
-    for r in words:
+    for r in words.collect():
         common.setdefault(r["lang"], set()).add(r["word"])
-    common = {k: frozenset(v) for k, v in common.items()}
-    main = F.split(F.lower(F.trim("lang")), "[-_]")[0]
-    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), main.alias("lang"), F.col("text").cast("string").alias("text"))
-    fields = [("doc_id", pa.int64()), ("language", pa.string()), ("n_lines", pa.int64()), ("n_words", pa.int64()), *((s, pa.float64()) for s in STATS)]
+    return {k: frozenset(v) for k, v in common.items()}
+
+
+def _statistics(rows: DataFrame, common: dict[str, frozenset[str]], extra: str = "") -> DataFrame:
+    """doc_id, told, lang, n_lines, n_words and the figures of rows (doc_id, lang, text), with the column extra passed on."""
+    fields = [("doc_id", pa.int64()), ("told", pa.string()), ("lang", pa.string()), ("n_lines", pa.int64()), ("n_words", pa.int64()), *((s, pa.float64()) for s in STATS)]
+    fields += [(extra, pa.string())] if extra else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in fields]
-            for doc, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text")):
+            passed = batch.column(extra).to_pylist() if extra else [None] * batch.num_rows
+            for doc, lang, text, more in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), passed):
                 if not (t := text.as_py()).strip():
                     continue
                 told, n_lines, n_words, stats = text_statistics(t, common)
-                for column, v in zip(out, (doc, told or (lang if lang in common else POOLED), n_lines, n_words, *stats)):
+                for column, v in zip(out, (doc, told, lang, n_lines, n_words, *stats, more)):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, fields)], names=[n for n, _ in fields])
 
-    ddl = "doc_id bigint, language string, n_lines bigint, n_words bigint, " + ", ".join(f"{s} double" for s in STATS)
-    return spread(rows).mapInArrow(work, ddl)
+    ddl = "doc_id bigint, told string, lang string, n_lines bigint, n_words bigint, " + ", ".join(f"{s} double" for s in STATS)
+    return spread(rows).mapInArrow(work, ddl + (f", {extra} string" if extra else ""))
+
+
+def _block_hits(rows: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
+    """(doc_id, digest, found, hits, lines) of rows (doc_id, digest, text) for each language with words of this block."""
+    fields = [("doc_id", pa.int64()), ("digest", pa.string()), ("found", pa.string()), ("hits", pa.int64()), ("lines", pa.list_(pa.int64()))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(doc, digest, lang, n, at) for doc, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text"))) for lang, (n, at) in common_hits(line_words(text)[1], common).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+    return spread(rows).mapInArrow(work, "doc_id bigint, digest string, found string, hits bigint, lines array<bigint>").distinct()
+
 
+def document_statistics(documents: DataFrame, common_words: DataFrame, word_block: int = WORD_BLOCK) -> DataFrame:
+    """doc_id, language, n_lines, n_words and the figures named in STATS, of documents with text.
 
-def fit_prose(stats: DataFrame, steps: int = 3) -> dict[str, Fit]:
-    """Robust centre and covariance of each language over all documents.
+    Documents whose text is null, empty or blank have no figures and no row. language is
+    the one whose common words the text uses most (ties: the first by name), else the
+    main part of the lang column if the list knows it, else "*". Repeated rows stay. A
+    list of more than word_block words is looked up in blocks, one pass over the texts
+    each, and hits and lines of the blocks are put together.
+    """
+    words = common_words.where("lang is not null and word is not null").select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).distinct()
+    n = words.count()
+    main = F.split(F.lower(F.trim("lang")), "[-_]")[0]
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), main.alias("lang"), F.col("text").cast("string").alias("text"))
+    columns = ["doc_id", "language", "n_lines", "n_words", *STATS]
+    if n <= word_block:
+        common = _by_language(words)
+        language = F.coalesce("told", F.when(F.col("lang").isin(list(common)), F.col("lang")), F.lit(POOLED))
+        return _statistics(rows, common).withColumn("language", language).select(*columns)
+    words = cut(words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(-(-n // word_block)))))
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    met = None
+    for block in range(-(-n // word_block)):
+        hits = _block_hits(rows.select("doc_id", "digest", "text"), _by_language(words.where(F.col("block") == block)))
+        met = hits if met is None else met.unionByName(hits)
+    met = met.groupBy("doc_id", "digest", "found").agg(F.sum("hits").alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("with"))
+    best = met.groupBy("doc_id", "digest").agg(F.min(F.struct((-F.col("hits")).alias("less"), "found", "with")).alias("b")).select("doc_id", "digest", "b.found", (-F.col("b.less")).alias("hits"), "b.with")
+    stats = _statistics(rows, {}, "digest").drop("told").join(best, ["doc_id", "digest"], "left").join(words.select("lang", F.lit(True).alias("listed")).distinct(), "lang", "left")
+    stats = stats.withColumn("common_words", F.coalesce(F.col("hits") / F.greatest(F.lit(1), F.col("n_words")), F.lit(0.0))).withColumn("common_lines", F.coalesce(F.col("with") / F.greatest(F.lit(1), F.col("n_lines")), F.lit(0.0)))
+    return stats.withColumn("language", F.coalesce("found", F.when(F.col("listed"), F.col("lang")), F.lit(POOLED))).select(*columns)
+
+
+def fit_prose(stats: DataFrame, steps: int = 3, least_docs: int = LEAST_DOCS) -> dict[str, Fit]:
+    """Robust centre and covariance of each language over all documents; languages with fewer than least_docs take that of all together.
 
     The first fit takes medians and median distances from them; each step then takes
     mean and covariance of the documents within the 0.975 quantile of the fit before.
@@ -232,13 +286,13 @@ def fit_prose(stats: DataFrame, steps: int = 3) -> dict[str, Fit]:
         per.append(g.agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(s) for s in STATS]).withColumn("language", F.col("language") if by else F.lit(POOLED)))
     fits: dict[str, Fit] = {}
     for r in per[0].unionByName(per[1]).collect():
-        if r["n"] and (r["language"] == POOLED or r["n"] >= LEAST_DOCS):
+        if r["n"] and (r["language"] == POOLED or r["n"] >= least_docs):
             quart = np.array([r[s] for s in STATS])
             # A wider start than the spread of the middle half, so that the first step loses no kind of prose.
             sd = np.maximum(1.5 * (quart[:, 2] - quart[:, 0]) / 1.349, 1.5 * FLOORS)
             fits[r["language"]] = Fit(quart[:, 1], np.diag(1 / sd**2))
     for _ in range(steps if fits else 0):
-        new = _from_moments(stats.select("language", *STATS).mapInArrow(_moments(fits), "language string, at int, value double"))
+        new = _from_moments(stats.select("language", *STATS).mapInArrow(_moments(fits), "language string, at int, value double"), least_docs)
         fits = new if POOLED in new else fits
     return fits
 
@@ -277,7 +331,7 @@ def outliers(stats: DataFrame, fits: dict[str, Fit]) -> DataFrame:
     return stats.select("doc_id", "language", *STATS).mapInArrow(work, "doc_id bigint, language string, distance double, kind string, contributions map<string, double>")
 
 
-def text_quality(documents: DataFrame, common_words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Statistics of every document with text, and their outlier distances; texts are read once."""
-    stats = cut(document_statistics(documents, common_words))
-    return stats, outliers(stats, fit_prose(stats))
+def text_quality(documents: DataFrame, common_words: DataFrame, least_docs: int = LEAST_DOCS, word_block: int = WORD_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Statistics of every document with text, and their outlier distances; texts are read once (once a block of a long list of words)."""
+    stats = cut(document_statistics(documents, common_words, word_block))
+    return stats, outliers(stats, fit_prose(stats, least_docs=least_docs))

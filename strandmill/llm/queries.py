@@ -48,11 +48,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, lang and n_tokens of the documents of target sources."""
+    docs = table(spark, d, "documents").withColumn("source", source_key("source")).join(read_targets(table(spark, d, "mix_targets")).select("source"), "source", "left_semi")
+    return kept(count_tokens(docs, {"doc_id": F.col("doc_id"), "source": F.col("source"), "lang": language_key("lang")}, F.col("text")))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    targets = table(spark, d, "mix_targets")
-    docs = table(spark, d, "documents").withColumn("source", source_key("source")).where(F.col("source").isin(list(read_targets(targets))))
-    tokens = cut(count_tokens(docs, {"doc_id": F.col("doc_id"), "source": F.col("source"), "lang": language_key("lang")}, F.col("text")))
-    return mix_sources(tokens, targets)
+    return mix_sources(_sizes(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +68,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_short(spark: SparkSession, d: str) -> DataFrame:
+    """The shares where the mix is to be as large as all target sources together, so that small ones fall short and others make up for them."""
+    tokens = _sizes(spark, d)
+    return mix_sources(tokens, table(spark, d, "mix_targets"), tokens.agg(F.sum("n_tokens")).first()[0] or 0)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     _, far = text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
     return far.where("kind is not null").select("doc_id", "kind")
@@ -77,7 +86,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.join(far, ["doc_id", "language"])
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_short": p9_short, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _B = "' ' || chr(9) || chr(10) || chr(13)"
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from strandmill.llm.quality import FAR, STATS, Fit, kind_of, spoken_lines, text_quality, text_statistics
+from strandmill.llm.quality import FAR, STATS, Fit, document_statistics, kind_of, spoken_lines, text_quality, text_statistics
 
 DDL = "doc_id long, lang string, text string, language string, kind string, n_words int"
 EN = ["the", "a", "and", "to", "of", "you", "it", "was", "we", "not"]
@@ -65,3 +65,10 @@ def test_planted_documents_come_out(spark):
     assert stats.collect() == [] and far.collect() == []
     _, far = text_quality(df, words.limit(0))
     assert far.count() == 204
+
+
+def test_a_long_list_of_words_in_blocks(spark, data):
+    documents, words = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "common_words"))
+    documents = documents.unionByName(documents.limit(3))
+    one = sorted(map(str, document_statistics(documents, words).collect()))
+    assert one == sorted(map(str, document_statistics(documents, words, word_block=40).collect())) and one
