@@ -71,5 +71,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores, for rows of any plan whose work in Python takes far longer than moving them."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

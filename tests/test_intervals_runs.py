@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from strandmill.operators import intervals, runs
@@ -126,3 +128,18 @@ def test_signal_then_remark(spark):
     merged = runs.merge_consecutive(spark.createDataFrame([("a", 1, "x", "p"), ("a", 2, "x", "q"), ("a", 4, None, "r"), ("a", 5, None, "s"), ("a", 6, "x", "t")], "k string, ln int, tag string, text string"), ["k"], "ln", "tag", "text")
     assert sorted((r.first, r["last"], r.n, r.text) for r in merged.collect()) == [(1, 2, 2, "pq"), (4, 5, 2, "rs"), (6, 6, 1, "t")]
     assert merged.where(F.col("tag").isNull()).count() == 1
+
+
+def test_longest_tolerant_equals_trying_all():
+    rng = random.Random(7)
+    for _ in range(400):
+        xs = np.cumsum([rng.choice([100, 120, 150, 180, 260, 300, 450]) + rng.randrange(9) for _ in range(rng.randrange(1, 14))])
+        want = None
+        for size in range(len(xs), 2, -1):
+            for i in range(len(xs) - size + 1):
+                gaps = np.diff(xs[i : i + size])
+                mid = float(np.median(gaps))
+                if want is None and max(gaps) - mid <= 0.3 * mid and mid - min(gaps) <= 0.3 * mid:
+                    want = xs[i : i + size].tolist()
+        got = runs.longest_tolerant(xs, 3, 0.3)
+        assert (None if got is None else got.tolist()) == want
