@@ -6,8 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: More names than this are refused: their pair table passes through the driver.
-MAX_NAMES = 2_000
+from ..session import cut
+
+#: The least strength; strengths of up to so many names (counted) are broadcast, more are joined by shuffle.
+LEAST_STRENGTH, BROADCAST_NAMES = 1e-6, 20_000
+#: Pairs that are fitted without a job an iteration.
+SMALL_PAIRS = 10_000
 
 
 def pair_wins(scores: DataFrame, game: str, name: str, score: str) -> DataFrame:
@@ -23,16 +27,9 @@ def pair_wins(scores: DataFrame, game: str, name: str, score: str) -> DataFrame:
     return games.groupBy("a", "b").agg(F.sum("wa").alias("wins_a"), F.sum("wb").alias("wins_b"))
 
 
-def bradley_terry(pairs: DataFrame, iterations: int = 200, tolerance: float = 1e-8) -> DataFrame:
-    """(name, wins, strength) fitted to a pair table, strengths summing to the number of names; all 1 without wins.
-
-    The pair table has at most MAX_NAMES squared rows, checked; the games behind it
-    stay distributed.
-    """
-    rows = pairs.limit(MAX_NAMES * MAX_NAMES + 1).collect()
+def _fit_small(rows: list, iterations: int, tolerance: float) -> list[tuple]:
+    """(name, wins, strength) of at most SMALL_PAIRS rows of a pair table."""
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
     at = {n: i for i, n in enumerate(names)}
     games, wins = np.zeros((len(names), len(names))), np.zeros(len(names))
     for r in rows:
@@ -42,11 +39,38 @@ def bradley_terry(pairs: DataFrame, iterations: int = 200, tolerance: float = 1e
         wins[j] += r["wins_b"]
     p = np.ones(len(names))
     for _ in range(iterations if wins.sum() else 0):
-        met = (games / (np.maximum(p, 1e-9)[:, None] + np.maximum(p, 1e-9)[None, :])).sum(1)
-        new = np.where(met > 0, wins / np.where(met > 0, met, 1), p)
-        new = new / new.sum() * len(names)
-        moved = np.abs(new - p).max()
-        p = np.maximum(new, 1e-6)
+        rate = (games / (p[:, None] + p[None, :])).sum(1)
+        new = np.where(rate > 0, wins / np.where(rate > 0, rate, 1), p)
+        moved, p = np.abs(new - p).max(), np.maximum(new / new.sum() * len(names), LEAST_STRENGTH)
+        if moved < tolerance:
+            break
+    return [(n, int(wins[i]), float(p[i])) for n, i in at.items()]
+
+
+def bradley_terry(pairs: DataFrame, iterations: int = 200, tolerance: float = 1e-8, small: int = SMALL_PAIRS) -> DataFrame:
+    """(name, wins, strength) fitted to a pair table, strengths summing to the number of names; all 1 without wins.
+
+    A pair table of at most small rows (counted) is fitted at once, where a job an
+    iteration would only cost time; any larger one by Spark, with the same steps: each iteration is a join of the pair table with the strengths and a sum by name. The
+    driver sees two numbers an iteration: the sum of the strengths, by which they are
+    scaled, and their greatest change.
+    """
+    pairs = cut(pairs)
+    if len(rows := pairs.limit(small + 1).collect()) <= small:
+        return pairs.sparkSession.createDataFrame(_fit_small(rows, iterations, tolerance), "name string, wins bigint, strength double")
+    one = pairs.select(F.col("a").alias("name"), F.col("b").alias("other"), F.col("wins_a").alias("wins"), (F.col("wins_a") + F.col("wins_b")).alias("games"))
+    two = pairs.select(F.col("b").alias("name"), F.col("a").alias("other"), F.col("wins_b").alias("wins"), (F.col("wins_a") + F.col("wins_b")).alias("games"))
+    met = cut(one.unionByName(two))
+    names = cut(met.groupBy("name").agg(F.sum("wins").cast("bigint").alias("wins")).withColumn("strength", F.lit(1.0)))
+    n, won = names.agg(F.count("*"), F.coalesce(F.sum("wins"), F.lit(0))).first()
+    hint = F.broadcast if n <= BROADCAST_NAMES else lambda df: df
+    for _ in range(iterations if won else 0):
+        theirs = names.select(F.col("name").alias("other"), F.col("strength").alias("q"))
+        rate = met.join(hint(names.select("name", F.col("strength").alias("p"))), "name").join(hint(theirs), "other").groupBy("name").agg(F.sum(F.col("games") / (F.col("p") + F.col("q"))).alias("rate"))
+        new = hint(names).join(rate, "name").select("name", "wins", F.col("strength").alias("before"), F.when(F.col("rate") > 0, F.col("wins") / F.col("rate")).otherwise(F.col("strength")).alias("strength"))
+        new = cut(new)
+        total, moved = new.agg(F.sum("strength"), F.max(F.abs(F.col("strength") - F.col("before")))).first()
+        names = new.select("name", "wins", F.greatest(F.lit(LEAST_STRENGTH), F.col("strength") * (n / total)).alias("strength"))
         if moved < tolerance:
             break
-    return pairs.sparkSession.createDataFrame([(n, int(wins[i]), float(p[i])) for n, i in at.items()], "name string, wins bigint, strength double")
+    return names

@@ -47,10 +47,16 @@ def proportional_quotas(sizes: DataFrame, scope: list[str], group: str, size: st
     return s.withColumn("quota", quota.cast("bigint")).drop(*[c for c in s.columns if c.startswith("__")])
 
 
-def sample_by_quota(df: DataFrame, quotas: DataFrame, keys: list[str], row_id: str, seed: int = 1) -> DataFrame:
-    """As many rows of each group as its quota says, by seeded order."""
+def sample_by_quota(df: DataFrame, quotas: DataFrame, keys: list[str], row_id: str, seed: int = 1, most: int | None = None) -> DataFrame:
+    """As many rows of each group as its quota says, by seeded order.
+
+    most is the greatest quota (looked up if not given): a group's ranking is pruned to it
+    in every task before its rows are shuffled.
+    """
+    if most is None:
+        most = quotas.agg(F.max("quota")).first()[0] or 0
     w = Window.partitionBy(*keys).orderBy(seeded_order(row_id, seed), row_id)
-    ranked = df.withColumn("__rn", F.row_number().over(w))
+    ranked = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most)
     return ranked.join(quotas.select(*keys, "quota"), keys).where(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
 
 

@@ -83,26 +83,6 @@ def tier1_margin(spark: SparkSession, d: str) -> DataFrame:
     return tiers.tier1_margin(table(spark, d, "tier1_hits"))
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
-    t1, t2 = table(spark, d, "tier1_hits"), table(spark, d, "tier2_hits")
-    targets = t1.select(F.col("target_id").alias("target")).unionByName(t2.select(F.col("target_id").alias("target"))).where("target is not null")
-    return tiers.classify(tiers.tier1_margin(t1), tiers.tier2_best(t2), None, targets)
-
-
-@query(f"""with {_T1}, {_T2}, targets as (select target_id target from tier1_hits where target_id is not null union select target_id from tier2_hits where target_id is not null)
-select t.target, case when t1.rt_class is not null then 'tier1' when t2.label is not null then 'tier2' else 'none' end tier, coalesce(t1.rt_class, t2.label, 'unplaced') label
-from targets t left join t1 on t1.target = t.target left join t2 on t2.target = t.target""")
-def tiered_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d)
-
-
-@query(f"""with {_T1}, {_T2}, targets as (select target_id target from tier1_hits where target_id is not null union select target_id from tier2_hits where target_id is not null)
-select case when t1.rt_class is not null then 'tier1' when t2.label is not null then 'tier2' else 'none' end tier, count(*)::bigint n
-from targets t left join t1 on t1.target = t.target left join t2 on t2.target = t.target group by 1""")
-def tier_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
-
-
 _FLOORED = """floors(rt_class, floor) as (values ('retron', 100), ('UG', 100), ('group II intron', 100), ('DGR', 100), ('CRISPR-assoc', 100), ('group II-like', 100), ('Abi', 100), ('novel', 100)),
 top as (select target_id target, max(bitscore) s from tier1_hits where target_id is not null and rt_class is not null and bitscore is not null and not isnan(bitscore) group by 1),
 won as (select distinct target, rt_class, s from top join tier1_hits h on h.target_id = top.target and h.bitscore = top.s where rt_class is not null),
@@ -137,6 +117,40 @@ def assigned_counts(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
 
 
+def _three_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """All tiers. The neighbours of a target are the five genes nearest to its own on the contig, at most 10,000 letters off, with the class that tiers 1 and 2 give them."""
+    two = cut(_assigned(spark, d))
+    genes = cut(_genes(spark, d).select("protein_id", "contig", "lo").distinct())
+    open_ = two.where("tier = 'none'").select(F.col("target").alias("protein_id")).join(genes, "protein_id").select(F.col("protein_id").alias("target"), "contig", F.col("lo").alias("at"), (F.col("lo") - 10_000).alias("a"), (F.col("lo") + 10_000).alias("b"))
+    there = genes.join(two.where("tier <> 'none'").select(F.col("target").alias("protein_id"), "label"), "protein_id", "left").select("protein_id", "contig", "lo", F.col("lo").alias("hi"), F.coalesce("label", F.lit("unplaced")).alias("label"))
+    near = intervals.overlap_join(open_, there, "contig", ("a", "b"), ("lo", "hi"), 20_000).where("target <> protein_id")
+    near = near.groupBy("target", "protein_id", "label").agg(F.min(F.abs(F.col("lo") - F.col("at"))).alias("off"))
+    tier3 = tiers.tier3_assign(near.select("target", "label", F.struct("off", "protein_id").alias("rank")))
+    return tiers.classify(two.where("tier = 'tier1'").select("target", F.col("label").alias("rt_class")), two.where("tier = 'tier2'").select("target", "label"), tier3, two)
+
+
+_THREE = f"""{_ASSIGNED}, {_GENES},
+pos as (select distinct protein_id, contig, lo from genes),
+near as (select o.target, g.protein_id, coalesce(case when q.tier <> 'none' then q.label end, 'unplaced') label, min(abs(g.lo - p.lo)) off
+  from placed o join pos p on p.protein_id = o.target join pos g on g.contig = p.contig and g.lo between p.lo - 10000 and p.lo + 10000 and g.protein_id <> o.target
+  left join placed q on q.target = g.protein_id where o.tier = 'none' group by 1, 2, 3),
+five as (select target, label, row_number() over (partition by target order by off, protein_id) rn from near),
+votes as (select target, count(*) n, count(*) filter (where label in ('unplaced', '-', '')) blank, count(distinct label) kinds, min(label) one from five where rn <= 5 group by 1),
+t3 as (select target, case when blank * 2 > n then 'novel' else one end label from votes where blank * 2 > n or (n = 5 and kinds = 1)),
+final as (select p.target, case when p.tier = 'none' and t3.label is not null then 'tier3' else p.tier end tier, case when p.tier = 'none' then coalesce(t3.label, 'unplaced') else p.label end label
+  from placed p left join t3 on t3.target = p.target)"""
+
+
+@query(f"{_THREE} select * from final")
+def tiered_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _three_tiers(spark, d)
+
+
+@query(f"{_THREE} select tier, count(*)::bigint n from final group by 1")
+def tier_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _three_tiers(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
+
+
 @query("""with g as (select distinct gene_id, locus_id, case when family like 'PF%' then substring(family, 1, 3) else 'unplaced' end label, abs(distance_to_adjacent_bp) rank from neighbor_genes where distance_to_adjacent_bp is not null and locus_id is not null),
 k as (select *, row_number() over (partition by locus_id order by rank, label) rn from g),
 a as (select locus_id target, count(*) n, count(distinct label) kinds, min(label) one, count(*) filter (where label in ('unplaced', '-', '')) nothing from k where rn <= 5 group by 1)
@@ -419,7 +433,7 @@ def clade_quotas(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with q as ({_QUOTAS}), {_LOCI}, r as (select *, row_number() over (partition by rt_class, rt_clade order by md5('1:' || locus_id), locus_id) rn from loci)
 select r.locus_id, r.rt_class, r.rt_clade from r join q on q.rt_class = r.rt_class and q.rt_clade = r.rt_clade where rn <= quota""")
 def loci_by_quota(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_by_quota(_loci(spark, d), _quotas(spark, d), ["rt_class", "rt_clade"], "locus_id")
+    return sampling.sample_by_quota(_loci(spark, d), _quotas(spark, d), ["rt_class", "rt_clade"], "locus_id", most=200)
 
 
 @query(f"with {_LOCI} select locus_id, rt_class, rt_clade from (select *, row_number() over (partition by rt_clade order by md5('1:' || locus_id), locus_id) rn from loci) where rn <= 60")
@@ -499,25 +513,6 @@ def class_strengths(spark: SparkSession, d: str) -> DataFrame:
 # Graphs
 
 
-def _strong_edges(spark: SparkSession, d: str) -> DataFrame:
-    strong = table(spark, d, "tier2_hits").where("target_id is not null and label is not null and bitscore >= 450 and not isnan(bitscore)")
-    return strong.select(F.col("target_id").alias("src"), F.col("label").alias("dst")).distinct()
-
-
-_STRONG = "e as (select distinct target_id src, label dst from tier2_hits where target_id is not null and label is not null and bitscore >= 450 and not isnan(bitscore)), u as (select src, dst from e union select dst, src from e)"
-
-
-@query(f"with recursive {_STRONG}, seen as (select min(dst) node from e union select u.dst from seen join u on u.src = seen.node) select node from seen")
-def component_of_seed(spark: SparkSession, d: str) -> DataFrame:
-    edges = _strong_edges(spark, d)
-    return graph.reachable(graph.symmetric(edges), edges.agg(F.min("dst").alias("node"))).select("node")
-
-
-@query(f"with recursive {_STRONG}, reach as (select src node, src up from u union select r.node, u.dst from reach r join u on u.src = r.up) select node, min(up) component from reach group by 1")
-def hit_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(_strong_edges(spark, d))
-
-
 def _family_edges(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "tier2_hits").where("target_id is not null and label is not null and bitscore is not null and not isnan(bitscore)")
     return hits.where("bitscore >= 140").select(F.col("target_id").alias("src"), F.col("label").alias("dst")).distinct()
@@ -532,12 +527,20 @@ def family_component_of_seed(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(graph.symmetric(edges), edges.agg(F.min("dst").alias("node"))).select("node")
 
 
-@query()
+_LABELS = f"with recursive {_FAMILY}, reach as (select src node, src up from u union select r.node, u.dst from reach r join u on u.src = r.up) select node, min(up) component from reach group by 1"
+
+
+@query(_LABELS)
 def family_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of all edges that qualify for a family; the closure of their pairs is too much for SQL."""
+    """Components of all edges that qualify for a family."""
     return graph.components(_family_edges(spark, d))
 
 
+# The same edges by their older names.
+for _old, _name in (("component_of_seed", "family_component_of_seed"), ("hit_components", "family_components")):
+    QUERIES[_old], ORACLES[_old] = QUERIES[_name], ORACLES[_name]
+
+
 # Texts
 
 

@@ -32,6 +32,9 @@ def test_hypergeometric_tail(spark):
         want = sum(comb(k, i) * comb(n - k, m - i) for i in range(max(x, 0), min(m, k) + 1)) / comb(n, m)
         got = one(spark, gamma.hypergeometric_tail(F.lit(x), F.lit(n), F.lit(k), F.lit(m)), z=1)
         assert abs(got - want) < 1e-9
+    # Pools of a billion: no row holds more than a few standard deviations of terms.
+    big = [one(spark, gamma.hypergeometric_tail(F.lit(x).cast("bigint"), F.lit(10**9), F.lit(10**8), F.lit(10**8)), z=1) for x in (10**7 - 9000, 10**7, 10**7 + 3000, 10**7 + 10**6)]
+    assert big[0] > 0.99 and abs(big[1] - 0.5) < 0.01 and 0.12 < big[2] < 0.16 and big[3] == 0.0
 
 
 def test_open_reading_frames(spark):

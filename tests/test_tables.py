@@ -152,6 +152,8 @@ def test_ranking(spark):
     pairs = ranking.pair_wins(s, "game", "name", "score")
     assert {tuple(r) for r in pairs.collect()} == {("a", "b", 1, 1), ("a", "c", 1, 0)}
     strength = {r.name: r.strength for r in ranking.bradley_terry(pairs).collect()}
+    large = {r.name: r.strength for r in ranking.bradley_terry(pairs, 12, small=0).collect()}
+    assert all(abs(v - large[k]) < 1e-9 for k, v in {r.name: r.strength for r in ranking.bradley_terry(pairs, 12).collect()}.items())
     assert abs(strength["a"] - strength["b"]) < 0.05 and strength["c"] < 0.01 and abs(sum(strength.values()) - 3) < 1e-4
 
 
