@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import kmers, reverse_complement, translate_codons, usable_seed
+from ..functions.sequences import gc_fraction, kmers, reverse_complement, translate_codons, usable_seed
 from .runs import MAX_GAP, MIN_GAP, array_runs, tolerant_window
 
 
@@ -65,3 +65,14 @@ def open_reading_frames(df: DataFrame, row_id: str, seq: str, min_aa: int = 100)
     chunks = chunks.withColumn("a", first).withColumn("b", F.least(F.col("len"), first + 3 * (F.length("protein") + 1)))
     back = F.col("strand") == "-"
     return chunks.select(row_id, "strand", "frame", F.when(back, F.col("len") - F.col("b")).otherwise(F.col("a")).alias("start"), F.when(back, F.col("len") - F.col("a")).otherwise(F.col("b")).alias("end"), "protein")
+
+
+def motif_frames(df: DataFrame, row_id: str, seq: str, motif: str = "[FY].DD", min_aa: int = 100) -> DataFrame:
+    """open_reading_frames whose protein holds the motif (a regular expression), with its first match as motif."""
+    frames = open_reading_frames(df, row_id, seq, min_aa).withColumn("motif", F.regexp_extract("protein", f"({motif})", 1))
+    return frames.where("motif <> ''")
+
+
+def inventory(df: DataFrame, row_id: str, seq: str) -> DataFrame:
+    """(row_id, length_nt, gc) of each sequence, gc null where it is empty."""
+    return df.where(F.col(seq).isNotNull()).select(F.col(row_id), F.length(seq).alias("length_nt"), gc_fraction(seq).alias("gc"))

@@ -46,6 +46,14 @@ def neighbour_lists(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("target", F.struct("line", "at").alias("rank"), "label")
 
 
+def clade_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(rt_clade, loci_total): of repeated clades the last row of the file counts; rows whose total is no whole number fail the read."""
+    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    fields = rows.select("line", F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
+    last = fields.groupBy(F.get("f", 0).alias("rt_clade")).agg(F.max_by(F.get("f", 1), "line").alias("n"))
+    return last.select("rt_clade", F.trim("n").cast("bigint").alias("loci_total"))
+
+
 def feature_counts(spark: SparkSession, path: str) -> DataFrame:
     """(feature, length, library_no, fragments) in long form from a featureCounts table: `#` lines and the header row skipped."""
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).where((F.size("f") >= 7) & (F.get("f", 0) != "Geneid"))

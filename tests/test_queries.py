@@ -1,10 +1,10 @@
 import pytest
 from oracle import same
 
-from strandmill.plans import problems, reference
+from strandmill.plans import files, problems, reference
 
-WITH_SQL = [(m, n) for m in (problems, reference) for n in m.ORACLES]
-WITHOUT = [(m, n) for m in (problems, reference) for n in m.QUERIES if n not in m.ORACLES]
+WITH_SQL = [(m, n) for m in (problems, reference, files) for n in m.ORACLES]
+WITHOUT = [(m, n) for m in (problems, reference, files) for n in m.QUERIES if n not in m.ORACLES]
 
 
 @pytest.mark.parametrize("module,name", WITH_SQL, ids=[n for _, n in WITH_SQL])
