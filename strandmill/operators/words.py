@@ -9,6 +9,10 @@ from ..functions.sequences import gc_fraction, kmers, reverse_complement, transl
 from .runs import MAX_GAP, MIN_GAP, array_runs, tolerant_window
 
 
+# Fixed value: the catalytic motif.
+RT_MOTIF = "[YF][ADV]DD"
+
+
 def word_positions(df: DataFrame, row_id: str, text: str, k: int) -> DataFrame:
     """(row_id, at, word): every overlapping word of k letters with its place from 0."""
     return df.select(F.col(row_id), F.posexplode(kmers(text, k)).alias("at", "word"))
@@ -67,7 +71,7 @@ def open_reading_frames(df: DataFrame, row_id: str, seq: str, min_aa: int = 100)
     return chunks.select(row_id, "strand", "frame", F.when(back, F.col("len") - F.col("b")).otherwise(F.col("a")).alias("start"), F.when(back, F.col("len") - F.col("a")).otherwise(F.col("b")).alias("end"), "protein")
 
 
-def motif_frames(df: DataFrame, row_id: str, seq: str, motif: str = "[FY].DD", min_aa: int = 100) -> DataFrame:
+def motif_frames(df: DataFrame, row_id: str, seq: str, motif: str = RT_MOTIF, min_aa: int = 100) -> DataFrame:
     """open_reading_frames whose protein holds the motif (a regular expression), with its first match as motif."""
     frames = open_reading_frames(df, row_id, seq, min_aa).withColumn("motif", F.regexp_extract("protein", f"({motif})", 1))
     return frames.where("motif <> ''")
