@@ -30,6 +30,8 @@ from ..session import cut
 BLOCK = 512
 #: Pair counts that a task holds before it merges them, and after merging before it sends them.
 HELD = 4_000_000
+#: Neighbours of one stripe; an item with more sends several stripes, which its merge adds up.
+STRIPE = 1024
 
 STRIPES = pa.schema([("a", pa.int64()), ("b", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
@@ -47,7 +49,9 @@ def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _stripes(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    heads = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    number = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    heads = np.flatnonzero(number % STRIPE == 0)
     at = pa.array(np.append(heads, len(a)).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(a[heads]), pa.ListArray.from_arrays(at, pa.array(b)), pa.ListArray.from_arrays(at, pa.array(n))], schema=STRIPES)
 

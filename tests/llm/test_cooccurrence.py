@@ -3,8 +3,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from strandmill.llm import cooccurrence as cooccurrence_module
 from strandmill.llm.cooccurrence import cooccurrence
 
 DDL = "cls string, rec string, item string, id long, n long, scope string"
@@ -54,3 +56,12 @@ def test_one_record_with_a_third_of_all_rows(spark):
 
 def test_empty(spark):
     assert run(spark, []) == (set(), 0)
+
+
+def test_long_stripes_are_split(monkeypatch):
+    monkeypatch.setattr(cooccurrence_module, "STRIPE", 3)
+    a, b = np.array([1] * 7 + [2] * 3 + [5]), np.arange(11)
+    batch = cooccurrence_module._stripes(a, b, np.ones(11, np.int64))
+    assert batch.column("a").to_pylist() == [1, 1, 1, 2, 5] and batch.column("b").to_pylist() == [[0, 1, 2], [3, 4, 5], [6], [7, 8, 9], [10]]
+    merged = list(cooccurrence_module._merge_stripes(1)(iter([batch.slice(0, 2), batch.slice(2)])))
+    assert sum(m.num_rows for m in merged) == 11
