@@ -248,6 +248,7 @@ def overlapping_genes(spark: SparkSession, d: str) -> DataFrame:
     g = _genes(spark, d)
     left = g.select("contig", F.col("protein_id").alias("left_id"), F.col("lo").alias("a"), F.col("hi").alias("b"))
     right = g.select("contig", F.col("protein_id").alias("right_id"), F.col("lo").alias("c"), F.col("hi").alias("e"))
+    # One side of each pair is enough: Catalyst moves the condition into the join.
     pairs = intervals.overlap_join(left, right, "contig", ("a", "b"), ("c", "e")).where("left_id < right_id")
     return pairs.select("left_id", "right_id", (F.least("b", "e") - F.greatest("a", "c") + 1).alias("shared")).distinct()
 
@@ -299,12 +300,22 @@ def gap_runs_of_gene_starts(spark: SparkSession, d: str) -> DataFrame:
     return r.select("contig", F.col("positions")[0].alias("first"), F.element_at("positions", -1).alias("last"), F.size("positions").cast("bigint").alias("n"))
 
 
-@query()
+@query(f"""with {_GENES}, pts as (select distinct contig, lo from genes), g as (select *, lo - lag(lo) over (partition by contig order by lo) gap from pts),
+i as (select *, sum(case when gap is null or gap < 100 or gap > 450 then 1 else 0 end) over (partition by contig order by lo rows unbounded preceding) island from g),
+r as (select contig, island, list(lo order by lo) xs from i group by 1, 2 having count(*) >= 3),
+w as (select contig, island, xs, a, unnest(range(a + 2, len(xs) + 1)) b from (select *, unnest(range(1, len(xs) - 1)) a from r)),
+c as (select *, list_transform(range(a, b), lambda k: xs[k + 1] - xs[k]) gaps from w),
+m as (select *, list_aggregate(gaps, 'median') mid from c),
+ok as (select *, row_number() over (partition by contig, island order by b - a desc, a) rn from m where list_max(gaps) - mid <= 0.3 * mid and mid - list_min(gaps) <= 0.3 * mid)
+select contig, xs[a:b] positions from ok where rn = 1""")
 def regular_gene_starts(spark: SparkSession, d: str) -> DataFrame:
     return runs.regular_runs(_starts(spark, d, 450), ["contig", "stretch"], "lo").select("contig", "positions")
 
 
-@query()
+@query(f"""with recursive {_GENES}, pts as (select distinct contig, lo from genes),
+nxt as (select a.contig, a.lo, b.lo next_lo from (select contig, lo, lo + 1000 least from pts) a asof join pts b on a.contig = b.contig and a.least <= b.lo),
+r as (select contig, min(lo) lo from pts group by 1 union all select r.contig, n.next_lo from r join nxt n on n.contig = r.contig and n.lo = r.lo)
+select contig, lo from r""")
 def spaced_gene_starts(spark: SparkSession, d: str) -> DataFrame:
     return runs.spaced_greedily(_starts(spark, d, 1000), ["contig", "stretch"], "lo", 1000).select("contig", "lo")
 
@@ -377,6 +388,12 @@ def scanned_arrays(spark: SparkSession, d: str) -> DataFrame:
     return arrays.scan_arrays(_sequences(spark, d), "protein_id", "seq", word=4, seeds=20, mismatches=1, shuffles=100)
 
 
+@query()
+def scanned_or_worded(spark: SparkSession, d: str) -> DataFrame:
+    """The same scan, and exact words where it finds none."""
+    return arrays.scan_with_words(_sequences(spark, d), "protein_id", "seq", exact_word=3, word=4, seeds=20, mismatches=1, shuffles=100)
+
+
 def _dna(spark: SparkSession, d: str, size: int) -> DataFrame:
     """DNA-like windows of the whole text of every document."""
     return cut(arrays.all_windows(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", size))
