@@ -313,8 +313,8 @@ def regular_gene_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with recursive {_GENES}, pts as (select distinct contig, lo from genes),
-nxt as (select a.contig, a.lo, b.lo next_lo from (select contig, lo, lo + 1000 least from pts) a asof join pts b on a.contig = b.contig and a.least <= b.lo),
-r as (select contig, min(lo) lo from pts group by 1 union all select r.contig, n.next_lo from r join nxt n on n.contig = r.contig and n.lo = r.lo)
+nxt as (select contig, lo, min(lo) over (partition by contig order by lo range between 1000 following and unbounded following) next_lo from pts),
+r as (select contig, min(lo) lo from pts group by 1 union all select r.contig, n.next_lo from r join nxt n on n.contig = r.contig and n.lo = r.lo where n.next_lo is not null)
 select contig, lo from r""")
 def spaced_gene_starts(spark: SparkSession, d: str) -> DataFrame:
     return runs.spaced_greedily(_starts(spark, d, 1000), ["contig", "stretch"], "lo", 1000).select("contig", "lo")
