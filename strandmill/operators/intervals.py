@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..session import cut
 from .periods import periods_and_gaps
 
 
@@ -70,38 +73,91 @@ def contained_pairs(outer: DataFrame, inner: DataFrame, key: str, outer_span: tu
     return x.join(y, [key, "__bin"]).where((F.col(a) <= F.col(c)) & (F.col(d) <= F.col(b))).drop("__bin")
 
 
+FREE, OPEN, GONE = 0, 1, 2
+
+
+def _meets(starts: list, ends: list, a, b) -> bool:
+    """Whether [a, b) overlaps one of the disjoint intervals."""
+    at = bisect_right(ends, a)
+    return at < len(starts) and starts[at] < b
+
+
+def _add(starts: list, ends: list, a, b) -> None:
+    """Adds [a, b) to disjoint intervals, joined with those that it overlaps or touches."""
+    i, j = bisect_left(ends, a), bisect_right(starts, b)
+    if i < j:
+        a, b = min(a, starts[i]), max(b, ends[j - 1])
+    starts[i:j], ends[i:j] = [a], [b]
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bin after another, best rows first: GONE overlaps a row that is surely taken, OPEN a better one that may be, FREE neither.
+
+    Taken and doubtful stretches of the open bin are all that is kept. A row that other
+    bins hold too is doubtful for the rest, as they may reject it.
+    """
+    where, taken, doubt = None, ([], []), ([], [])
+    for batch in batches:
+        verdicts = []
+        columns = [batch.column(c).to_pylist() for c in ("key", "bin", "lo", "hi", "across", "given")]
+        for key, bin_, a, b, across, given in zip(*columns):
+            if (key, bin_) != where:
+                where, taken, doubt = (key, bin_), ([], []), ([], [])
+            if given:
+                verdict = FREE
+            elif _meets(*taken, a, b):
+                verdict = GONE
+            else:
+                verdict = OPEN if _meets(*doubt, a, b) else FREE
+            if given or (verdict == FREE and not across):
+                _add(*taken, a, b)
+            elif verdict != GONE:
+                _add(*doubt, a, b)
+            verdicts.append(verdict)
+        yield batch.append_column("verdict", pa.array(verdicts, pa.int32()))
+
+
 def greedy_non_overlapping(df: DataFrame, key: str, lo: str, hi: str, score: str, row_id: str) -> DataFrame:
     """Rows kept by going through each key's half-open intervals by score (high first, then id), taking those that overlap none taken.
 
-    What is taken depends on all better rows that it touches, directly or through
-    others; so rows are partitioned by the continuous period that they lie in and
-    streamed in order of score, keeping the open period's taken intervals only. Adjacent
-    half-open intervals do not overlap.
+    What is taken depends on all better rows that a row touches, directly or through
+    others. So the line is cut into bins, which lie in many tasks, and each bin is gone
+    through by itself; rows about which bins do not yet agree go on to the next round,
+    whose bins are four times as wide and cut elsewhere, together with the rows taken
+    across bins, which reject what they overlap. The best row left is decided in every
+    round, and soon all are. Adjacent intervals do not overlap. Of rows with the same key
+    and ends only the best can be taken, so one of each is looked at. Ends are integers;
+    rows with null key or ends, or lo >= hi, are left out; null scores come last.
     """
-    rows = df.where(F.col(key).isNotNull() & (F.col(lo) < F.col(hi)))
-    closed = rows.select(F.col(key).alias("key"), F.col(lo).alias("lo"), (F.col(hi) - 1).alias("hi"))
-    spans = periods_and_gaps(closed, "key", "lo", "hi", (key, "__kind", "__from", "__to")).where("__kind = 'period'").drop("__kind")
-    located = overlap_join(rows.withColumn("__last", F.col(hi) - 1), spans, key, (lo, "__last"), ("__from", "__to"), 100_000)
-    ordered = located.repartition(key, "__from").sortWithinPartitions(key, "__from", F.desc(score), row_id)
-    names = [f.name for f in rows.schema]
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, starts, ends = None, [], []
-        for pdf in batches:
-            mask = []
-            for period, a, b in zip(zip(pdf[key], pdf["__from"]), pdf[lo], pdf[hi]):
-                if period != open_:
-                    open_, starts, ends = period, [], []
-                # Taken intervals are disjoint: only the neighbours in order can overlap.
-                at = bisect_right(starts, a)
-                free = (at == 0 or ends[at - 1] <= a) and (at == len(starts) or starts[at] >= b)
-                if free:
-                    starts.insert(at, a)
-                    ends.insert(at, b)
-                mask.append(free)
-            yield pdf[mask][names]
-
-    return ordered.mapInPandas(keep, rows.schema)
+    rows = df.where(F.col(key).isNotNull() & (F.col(lo) < F.col(hi))).select(F.struct("*").alias("row"))
+    todo = rows.select(*[F.col("row")[c].alias(n) for c, n in ((key, "key"), (lo, "lo"), (hi, "hi"), (score, "score"), (row_id, "id"))], "row", F.lit(False).alias("given"))
+    best = Window.partitionBy("key", "lo", "hi").orderBy(F.desc("score"), "id")
+    todo = cut(todo.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn"))
+    mean = int(todo.agg(F.avg(F.col("hi") - F.col("lo"))).first()[0] or 0)
+    # Bins at least twice as wide as the mean row: all copies together are at most twice the rows and a half.
+    first = max(16, (2 * mean).bit_length())
+    parts, turn = [], 0
+    while True:
+        wide = min(first + 2 * turn, 60)
+        shift = (1 << wide - 2) + (1 << first - 2) if turn % 2 else 0
+        # Halves are shifted, so that no sum leaves 64 bits.
+        at = lambda c: F.shiftright(F.shiftright(c.cast("bigint"), 1) + F.lit(shift).cast("bigint"), wide - 1)
+        low, high = at(F.col("lo")), at(F.col("hi") - 1)
+        binned = todo.withColumn("across", low < high).withColumn("bin", F.explode(F.sequence(low, high)))
+        binned = binned.repartition("key", "bin").sortWithinPartitions("key", "bin", F.desc("given"), F.desc("score"), "id")
+        schema = StructType([*binned.schema.fields, StructField("verdict", IntegerType())])
+        judged = cut(binned.mapInArrow(_judged, schema).where(f"not given and (across or verdict <> {GONE})"))
+        whole = judged.where("not across")
+        names = ["key", "lo", "hi"]
+        agreed = judged.where("across").groupBy(*names).agg(F.max("verdict").alias("verdict"), F.first(F.struct("score", "id", "row")).alias("r"))
+        agreed = cut(agreed.where(f"verdict <> {GONE}").select(*names, "r.*", "verdict"))
+        parts += [whole.where(f"verdict = {FREE}").select("row.*"), agreed.where(f"verdict = {FREE}").select("row.*")]
+        slim = [*names, "score", "id", "row"]
+        left = whole.where(f"verdict = {OPEN}").select(*slim).unionByName(agreed.where(f"verdict = {OPEN}").select(*slim))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        todo = left.withColumn("given", F.lit(False)).unionByName(agreed.where(f"verdict = {FREE}").select(*slim).withColumn("given", F.lit(True)))
+        turn += 1
 
 
 def islands(df: DataFrame, keys: list[str], at: str, breaks: Column) -> DataFrame:

@@ -38,19 +38,43 @@ def test_beside_and_union_length(spark):
     assert {r.key: r.covered for r in intervals.union_length_windowed(frame(spark, z, ""), ["key"], "lo", "hi").collect()} == want
 
 
-def test_greedy_suppression(spark):
-    rng = random.Random(4)
-    rows = [(k, i, a, b + 1, rng.randrange(20)) for k, i, a, b in spans(rng, 150)]
-    rows += [("c", 500, 0, 10, 5), ("c", 501, 10, 20, 5), ("c", 502, 5, 15, 9)]
-    df = spark.createDataFrame(rows, "key string, id int, lo int, hi int, score int")
+def greedy(rows):
+    """Brute force over (key, id, lo, hi, score)."""
     want = set()
-    for k in "abc":
+    for k in {r[0] for r in rows}:
         kept = []
         for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[4], r[1])):
             if all(r[3] <= x[2] or r[2] >= x[3] for x in kept):
                 kept.append(r)
         want |= set(kept)
-    assert {tuple(r) for r in intervals.greedy_non_overlapping(df, "key", "lo", "hi", "score", "id").collect()} == want
+    return want
+
+
+def test_greedy_suppression(spark):
+    rng = random.Random(4)
+    rows = [(k, i, a, b + 1, rng.randrange(20)) for k, i, a, b in spans(rng, 150)]
+    rows += [("c", 500, 0, 10, 5), ("c", 501, 10, 20, 5), ("c", 502, 5, 15, 9)]
+    df = spark.createDataFrame(rows, "key string, id int, lo int, hi int, score int")
+    assert {tuple(r) for r in intervals.greedy_non_overlapping(df, "key", "lo", "hi", "score", "id").collect()} == greedy(rows)
+
+
+def test_greedy_over_many_bins(spark):
+    """One continuous period over many bins, rows across their edges, a falling chain, far and negative ends, clashing columns."""
+    rng = random.Random(8)
+    at = [rng.randrange(-300_000, 900_000) for _ in range(600)]
+    rows = [("hot", i, a, a + rng.choice([900, 9_000, 70_000, 200_000]), rng.randrange(50)) for i, a in enumerate(at)]
+    rows += [("chain", 1000 + i, 60_000 * i, 60_000 * i + 70_000, 40 - i) for i in range(40)]
+    rows += [("far", 2000 + i, 2**62 + 60_000 * i, 2**62 + 60_000 * i + 61_000, i) for i in range(5)]
+    rows += [("one", 3000, 5, 6, 1)]
+    schema = "key string, bin int, lo bigint, hi bigint, given int"
+    got = intervals.greedy_non_overlapping(spark.createDataFrame(rows * 2, schema), "key", "lo", "hi", "given", "bin")
+    assert got.columns == ["key", "bin", "lo", "hi", "given"]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+    bad = [(None, 1, 0, 5, 1), ("a", 2, None, 5, 1), ("a", 3, 5, 5, 1), ("a", 4, 0, 5, None), ("a", 5, 4, 9, 0)]
+    kept = intervals.greedy_non_overlapping(spark.createDataFrame(bad, schema), "key", "lo", "hi", "given", "bin")
+    assert [r.bin for r in kept.collect()] == [5]
+    assert intervals.greedy_non_overlapping(spark.createDataFrame([], schema), "key", "lo", "hi", "given", "bin").isEmpty()
 
 
 def median(g):
