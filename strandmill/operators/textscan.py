@@ -47,10 +47,44 @@ def relevant(queries: DataFrame, query_id: str, query_terms: str, texts: DataFra
     return ranked.select(query_id, row_id, "rank", "shared", (F.col("shared") / F.greatest(F.lit(1), F.col("terms"))).alias("score"))
 
 
-def match_claims(findings: DataFrame, finding_id: str, text: str, claims: DataFrame, claim_id: str, wording: str, least: int = 2) -> DataFrame:
-    """(finding_id, claim_id, overlap): the claim that shares most terms with each finding, at least least; ties to the smaller claim id."""
-    f = findings.select(F.col(finding_id), F.explode(terms(text, "[a-z0-9'-]+")).alias("word"))
-    c = claims.select(F.col(claim_id), F.explode(terms(wording, "[a-z0-9'-]+")).alias("word"))
-    pairs = f.join(c, "word").groupBy(finding_id, claim_id).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    w = Window.partitionBy(finding_id).orderBy(F.desc("overlap"), claim_id)
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+def screened(text: Column, exact: Column, ids: list[str] = (), phrases: list[str] = (), wordings: list[str] = (), pattern: str = "[a-z0-9'-]+") -> Column:
+    """Whether a text names one of a few given things, in any case; false for null.
+
+    An id counts anywhere in the text, also inside a word; a phrase with a blank anywhere,
+    one without as a whole word; ids and wordings also if exact, blanks at its ends cut
+    off, equals one.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    lower = lambda names: [n.lower() for n in names]
+    words = [p for p in lower(phrases) if " " not in p]
+    hit = F.lower(F.trim(F.coalesce(exact, F.lit("")))).isin([*lower(ids), *lower(wordings)])
+    for part in [*lower(ids), *[p for p in lower(phrases) if " " in p]]:
+        hit = hit | low.contains(part)
+    if words:
+        hit = hit | F.arrays_overlap(terms(text, pattern), F.array(*map(F.lit, words)))
+    return hit
+
+
+def match_claims(findings: DataFrame, finding_id: str, text: str, claims: DataFrame, claim_id: str, wording: str, least: int = 2, evidence: str | None = None, stop: list[str] = ()) -> DataFrame:
+    """(finding_id, claim_id, overlap): the claim of each finding.
+
+    A finding whose text, blanks at its ends cut off, is a claim's id or wording in any case
+    has that claim, with overlap null. Any other has the claim that shares most words
+    with its text and evidence, stop words aside, at least least. Ties go to the smaller
+    claim id; findings without a claim, null ids and null texts give no row. finding_id is
+    unique; repeated claims count once.
+    """
+    pattern = "[a-z0-9'-]+"
+    named = claims.where(F.col(claim_id).isNotNull()).select(F.col(claim_id), F.lower(wording).alias("__wording"))
+    names = named.select(claim_id, F.explode(F.array(F.lower(F.col(claim_id)), "__wording")).alias("__name")).where("__name is not null")
+    names = names.groupBy("__name").agg(F.min(claim_id).alias(claim_id))
+    body = F.col(text) if evidence is None else F.concat_ws(" ", text, evidence)
+    rows = findings.where(F.col(finding_id).isNotNull()).select(F.col(finding_id), F.lower(F.trim(text)).alias("__name"), body.alias("__body"))
+    exact = rows.join(names, "__name").select(finding_id, claim_id, F.lit(None).cast("bigint").alias("overlap"))
+    word = lambda c: F.explode(F.array_except(terms(c, pattern), F.array(*map(F.lit, stop)).cast("array<string>"))).alias("__word")
+    # Only texts that no claim names go on to the comparison of words.
+    rest = rows.join(names.select("__name"), "__name", "left_anti")
+    c = named.select(claim_id, word("__wording")).distinct()
+    pairs = rest.select(finding_id, word("__body")).join(c, "__word").groupBy(finding_id, claim_id).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    best = pairs.groupBy(finding_id).agg(F.max("overlap").alias("overlap"), F.min_by(claim_id, F.struct(-F.col("overlap"), F.col(claim_id))).alias(claim_id))
+    return exact.unionByName(best)

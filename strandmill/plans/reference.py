@@ -579,6 +579,37 @@ def most_relevant_documents(spark: SparkSession, d: str) -> DataFrame:
     return textscan.relevant(q, "lang", "terms", table(spark, d, "documents"), "doc_id", "text")
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9''-]+'))"
+
+
+@query(f"""select doc_id from documents
+where lower(trim(coalesce(text, ''), ' ')) in ('.invalid', 'fin', 'the end') or contains(lower(text), '.invalid') or contains(lower(text), 'what if')
+  or list_has_any({_WORDS.format("coalesce(text, '')")}, ['map', 'lamp', 'subtitles'])""")
+def screened_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that name one of a few things."""
+    hit = textscan.screened(F.col("text"), F.col("text"), [".invalid"], ["what if", "map", "lamp", "subtitles"], ["fin", "the end"])
+    return table(spark, d, "documents").where(hit).select("doc_id")
+
+
+#: Words that do not tell a claim from others.
+_STOP = ["the", "a", "an", "of", "in", "is", "and", "or", "to", "for", "that", "this", "with", "not"]
+
+
+@query(f"""with f as (select doc_id, lower(trim(text, ' ')) name, text from documents where text is not null),
+c as (select lang claim, string_agg(lower(word), ' ' order by word) wording from common_words where lang is not null group by 1),
+names as (select name, min(claim) claim from (select wording name, claim from c union all select lower(claim), claim from c) where name is not null group by 1),
+fw as (select doc_id, unnest(list_filter({_WORDS.format("text")}, lambda x: not list_contains({_STOP}, x))) word from f where name not in (select name from names)),
+cw as (select claim, unnest(list_filter({_WORDS.format("wording")}, lambda x: not list_contains({_STOP}, x))) word from c),
+s as (select doc_id, claim, count(*)::bigint overlap from fw join cw using (word) group by 1, 2 having count(*) >= 2),
+r as (select *, row_number() over (partition by doc_id order by overlap desc, claim) rn from s)
+select doc_id, claim, null::bigint overlap from f join names using (name) union all select doc_id, claim, overlap from r where rn = 1""")
+def claimed_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language that each document speaks for: its common words are the wording of the claim."""
+    words = table(spark, d, "common_words").where("lang is not null and word is not null")
+    claims = words.groupBy(F.col("lang").alias("claim")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("word")), F.lower), " ").alias("wording"))
+    return textscan.match_claims(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", claims, "claim", "wording", stop=_STOP)
+
+
 # Logs
 
 

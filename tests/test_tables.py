@@ -175,3 +175,19 @@ def test_texts(spark):
     assert {tuple(r) for r in textscan.mentions(df, "id", "text", ids, "name").collect()} == {(1, "srr_12"), (1, "world")}
     claims = spark.createDataFrame([("c1", "hello world again"), ("c2", "hello srr_12 x world"), ("c3", "verdict")], "cid string, wording string")
     assert {tuple(r) for r in textscan.match_claims(df, "id", "text", claims, "cid", "wording").collect()} == {(1, "c2", 5)}
+
+
+def test_claims_by_name_before_words(spark):
+    schema = "id int, text string, evidence string, claim string"
+    rows = [(1, " C2 ", "alpha beta gamma", ""), (2, "Alpha Beta of gamma", "", ""), (3, "alpha", "beta c-1x here", ""), (4, "the of", "delta", ""), (5, None, None, ""), (6, "", "", ""), (7, "delta epsilon", "", ""), (8, "see alpha", "beta " * 5000, "")]
+    df = spark.createDataFrame(rows, schema)
+    claims = [("c1", "alpha beta of gamma"), ("c1", "alpha beta of gamma"), ("c0", "the of alpha beta"), ("c2", "delta epsilon"), ("c3", "Delta Epsilon"), (None, "alpha beta"), ("c4", None)]
+    claims = spark.createDataFrame(claims, "claim string, wording string")
+    # claim is a column of both tables: findings keep none of theirs.
+    got = textscan.match_claims(df, "id", "text", claims, "claim", "wording", evidence="evidence", stop=["the", "of"])
+    assert {tuple(r) for r in got.collect()} == {(1, "c2", None), (2, "c1", None), (3, "c0", 2), (7, "c2", None), (8, "c0", 2)}
+    none = textscan.match_claims(df.limit(0), "id", "text", claims, "claim", "wording")
+    assert none.isEmpty() and textscan.match_claims(df, "id", "text", claims.limit(0), "claim", "wording").isEmpty()
+    hit = textscan.screened(F.concat_ws(" ", "text", "evidence"), F.col("text"), ["C-1"], ["see alpha", "epsilon"], ["alpha beta of gamma"])
+    assert [r.id for r in df.where(hit).orderBy("id").collect()] == [2, 3, 7, 8]
+    assert df.where(textscan.screened(F.col("text"), F.col("text"))).isEmpty()
