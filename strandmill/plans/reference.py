@@ -376,7 +376,16 @@ def sequence_features(spark: SparkSession, d: str) -> DataFrame:
     return s.select("protein_id", F.length("seq").alias("len"), F.size(F.array_distinct(kmers("seq", 3))).alias("n_words"), F.col("seq").rlike("Y.DD").alias("motif"), distinct_letters("seq").alias("letters"), reverse_complement("seq").alias("reversed"), gc_fraction("seq").alias("gc"))
 
 
-@query()
+@query("""with z as (select doc_id, unnest(range(0, length(text) - 11)) i, text from documents where length(text) >= 12),
+p as (select doc_id, substr(text, i::int + 1, 12) word, i from z),
+g as (select *, i - lag(i) over (partition by doc_id, word order by i) gap from (select * from p qualify count(*) over (partition by doc_id, word) >= 3)),
+r as (select *, sum(case when gap is null or gap < 100 or gap > 450 then 1 else 0 end) over (partition by doc_id, word order by i rows unbounded preceding) island from g),
+x as (select doc_id, word, island, list(i order by i) xs from r group by 1, 2, 3 having count(*) >= 3),
+w as (select *, unnest(range(a + 2, len(xs) + 1)) b from (select *, unnest(range(1, len(xs) - 1)) a from x)),
+m as (select *, list_transform(range(a, b), lambda k: xs[k + 1] - xs[k]) gaps from w),
+ok as (select *, list_aggregate(gaps, 'median') mid from m),
+best as (select *, row_number() over (partition by doc_id order by b - a desc, xs[a], word) rn from ok where list_max(gaps) - mid <= 0.3 * mid and mid - list_min(gaps) <= 0.3 * mid)
+select doc_id, word, (b - a + 1)::int copies, xs[a:b] positions from best where rn = 1""")
 def exact_word_arrays(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     return words.exact_word_arrays(docs, "doc_id", "text", 12)
@@ -522,9 +531,20 @@ def _class_scores(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("target_id", "rt_class").agg(F.max("bitscore").alias("v"))
 
 
-@query()
+@query("""with recursive s as (select target_id, rt_class, max(bitscore) v from tier1_hits where target_id is not null and rt_class is not null and bitscore is not null and not isnan(bitscore) group by 1, 2),
+w as (select a.rt_class a, b.rt_class b, count(*) filter (where a.v > b.v) wins_a, count(*) filter (where a.v < b.v) wins_b
+  from s a join s b on a.target_id = b.target_id and a.rt_class < b.rt_class where a.v <> b.v group by 1, 2),
+m as (select a name, b other, wins_a wins, wins_a + wins_b games from w union all select b, a, wins_b, wins_a + wins_b from w),
+r as (
+  select 0 turn, name, 1.0::double p from (select distinct name from m)
+  union all
+  select turn + 1, name, greatest(1e-6, p / sum(p) over () * count(*) over ()) from (
+    select x.turn, m.name, sum(m.wins) / sum(m.games / (x.p + y.p)) p
+    from m join r x on x.name = m.name join r y on y.name = m.other where x.turn < 200 group by 1, 2))
+select r.name, t.wins, round(r.p, 5) strength from r join (select name, sum(wins)::bigint wins from m group by 1) t using (name) where r.turn = 200""")
 def class_strengths(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.bradley_terry(ranking.pair_wins(_class_scores(spark, d), "target_id", "rt_class", "v"))
+    fit = ranking.bradley_terry(ranking.pair_wins(_class_scores(spark, d), "target_id", "rt_class", "v"))
+    return fit.withColumn("strength", F.round("strength", 5))
 
 
 # Graphs
