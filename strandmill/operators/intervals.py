@@ -118,7 +118,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def greedy_non_overlapping(df: DataFrame, key: str, lo: str, hi: str, score: str, row_id: str) -> DataFrame:
-    """Rows kept by going through each key's half-open intervals by score (high first, then id), taking those that overlap none taken.
+    """Rows kept by going through each key's half-open intervals by score (high first, then id and ends), taking those that overlap none taken.
 
     What is taken depends on all better rows that a row touches, directly or through
     others. So the line is cut into bins, which lie in many tasks, and each bin is gone
@@ -144,7 +144,7 @@ def greedy_non_overlapping(df: DataFrame, key: str, lo: str, hi: str, score: str
         at = lambda c: F.shiftright(F.shiftright(c.cast("bigint"), 1) + F.lit(shift).cast("bigint"), wide - 1)
         low, high = at(F.col("lo")), at(F.col("hi") - 1)
         binned = todo.withColumn("across", low < high).withColumn("bin", F.explode(F.sequence(low, high)))
-        binned = binned.repartition("key", "bin").sortWithinPartitions("key", "bin", F.desc("given"), F.desc("score"), "id")
+        binned = binned.repartition("key", "bin").sortWithinPartitions("key", "bin", F.desc("given"), F.desc("score"), "id", "lo", "hi")
         schema = StructType([*binned.schema.fields, StructField("verdict", IntegerType())])
         judged = cut(binned.mapInArrow(_judged, schema).where(f"not given and (across or verdict <> {GONE})"))
         whole = judged.where("not across")

@@ -270,7 +270,19 @@ def genes_beside_hits(spark: SparkSession, d: str) -> DataFrame:
     return intervals.beside(g, g.join(hit, "protein_id", "left_semi"), "contig", "lo", "hi", 10_000)
 
 
-@query()
+_BETTER = "b.contig = a.contig and b.lo <= a.hi and b.hi >= a.lo and (-b.length, b.protein_id, b.lo, b.hi) < (-a.length, a.protein_id, a.lo, a.hi)"
+
+
+@query(f"""with recursive {_GENES}, g as (select contig, lo, hi, max(length) length, min(protein_id) protein_id from genes where length > 0 group by 1, 2, 3),
+r as (
+  select 0 turn, contig, protein_id, lo, hi, length, false taken from g
+  union all
+  select turn + 1, contig, protein_id, lo, hi, length, taken from (
+    with u as materialized (select * from r where not taken),
+    t as materialized (select * from u a where not exists (select 1 from u b where {_BETTER}))
+    select turn, contig, protein_id, lo, hi, length, true taken from t
+    union all select turn, contig, protein_id, lo, hi, length, false from u a where not exists (select 1 from t b where b.contig = a.contig and b.lo <= a.hi and b.hi >= a.lo)))
+select contig, protein_id, lo, hi from r where taken""")
 def longest_non_overlapping_genes(spark: SparkSession, d: str) -> DataFrame:
     g = _genes(spark, d).where("length > 0").groupBy("contig", "lo", "hi").agg(F.max("length").alias("length"), F.min("protein_id").alias("protein_id"))
     half_open = g.select("contig", "protein_id", "lo", (F.col("hi") + 1).alias("stop"), "length")
