@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import gc_fraction, kmers, reverse_complement, translate_codons, usable_seed
-from .runs import MAX_GAP, MIN_GAP, array_runs, tolerant_window
-
+from ..session import cut
+from .runs import MAX_GAP, MIN_GAP, TOLERANCE, array_runs, longest_tolerant, tolerant_window
 
 # Fixed value: the catalytic motif.
 RT_MOTIF = "[YF][ADV]DD"
+#: Ids of several rows that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 20_000
 
 
 def word_positions(df: DataFrame, row_id: str, text: str, k: int) -> DataFrame:
@@ -31,12 +38,72 @@ def top_words(df: DataFrame, row_id: str, text: str, k: int, n: int = 20, seeds_
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(row_id, "rank", "word", "n")
 
 
+def _word_keys(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """A number for each place's word of k letters, equal where the words are equal; letters are numbers of so many bits."""
+    n = len(codes) - k + 1
+    if bits * k <= 63:
+        out = np.zeros(n, np.int64)
+        for i in range(k):
+            out <<= bits
+            out |= codes[i : i + n]
+        return out
+    half = (k + 1) // 2
+    _, part = np.unique(_word_keys(codes, half, bits), return_inverse=True)
+    return part[:n] * len(codes) + part[k - half : k - half + n]
+
+
+def longest_exact(text: str, k: int, min_copies: int) -> tuple[str, np.ndarray] | None:
+    """(word, positions) of the longest, then first, regularly spaced run of exact copies of a word of k letters in one text."""
+    if len(text) < k:
+        return None
+    _, codes = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    keys = _word_keys(codes.astype(np.int64), k, max(1, int(codes.max()).bit_length()))
+    order = np.argsort(keys, kind="stable")
+    gaps = np.diff(order)
+    near = (keys[order[1:]] == keys[order[:-1]]) & (gaps >= MIN_GAP) & (gaps <= MAX_GAP)
+    # Maximal runs of near neighbours, from the longest down: a run gives no more copies than it has.
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]])))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2] + 1
+    best: tuple[int, int] | None = None
+    found = None
+    for i in np.argsort(-sizes, kind="stable"):
+        if sizes[i] < min_copies or best is not None and sizes[i] < -best[0]:
+            break
+        run = longest_tolerant(order[starts[i] : starts[i] + sizes[i]], min_copies, TOLERANCE)
+        if run is not None and (best is None or (-len(run), int(run[0])) < best):
+            best, found = (-len(run), int(run[0])), run
+    return None if found is None else (text[found[0] : found[0] + k], found)
+
+
 def exact_word_arrays(df: DataFrame, row_id: str, text: str, k: int = 12, min_copies: int = 3) -> DataFrame:
     """(row_id, word, copies, positions): of each row the word with the longest regularly spaced run of exact copies.
 
-    Ties go to the word whose run begins first, then by word. Words with too few copies
-    leave before any run is built.
+    Ties go to the word whose run begins first, then by word. A text's words are sought
+    in the task that reads it; only the texts of ids that several rows have go through a shuffle.
     """
+    rows = df.where(F.col(text).isNotNull()).select(row_id, text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [longest_exact(t, k, min_copies) for t in batch.column(1).to_pylist()]
+            there = [i for i, f in enumerate(found) if f is not None]
+            own = [found[i] for i in there]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there, pa.int64())), pa.array([f[0] for f in own], pa.string()), pa.array([len(f[1]) for f in own], pa.int32()), pa.array([f[1] for f in own], pa.list_(pa.int64()))], names=[row_id, "word", "copies", "positions"])
+
+    kind = T.StructType([T.StructField(row_id, rows.schema[row_id].dataType), *T._parse_datatype_string("word string, copies int, positions array<bigint>").fields])
+    best = rows.mapInArrow(work, kind)
+    several = cut(rows.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").select(F.col(row_id).alias("__several")))
+    n = several.count()
+    if not n:
+        return best
+    if n <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    same = F.col(row_id).eqNullSafe(F.col("__several"))
+    return best.join(several, same, "left_anti").unionByName(_arrays_by_word(rows.join(several, same, "left_semi"), row_id, text, k, min_copies))
+
+
+def _arrays_by_word(df: DataFrame, row_id: str, text: str, k: int, min_copies: int) -> DataFrame:
+    """exact_word_arrays over the positions of all rows of an id together; words with too few copies leave before any run is built."""
     at = word_positions(df, row_id, text, k).groupBy(row_id, "word").agg(F.sort_array(F.collect_list(F.col("at").cast("bigint"))).alias("all"))
     spread = at.where((F.size("all") >= min_copies) & (F.element_at("all", -1) - F.element_at("all", 1) >= MIN_GAP * (min_copies - 1)))
     # A word's places in one text are an array as long as the text at most.

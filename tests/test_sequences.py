@@ -56,3 +56,21 @@ def test_exact_word_arrays(spark):
     got = words.exact_word_arrays(df, "id", "seq", 12).collect()
     assert [(r.id, r.word, r.copies) for r in got] == [("yes", unit, 5)]
     assert list(got[0].positions) == [i for i in range(len(planted)) if planted.startswith(unit, i)]
+
+
+def test_exact_words_stay_in_their_row(spark):
+    rng = random.Random(8)
+    make = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    unit = make(14, "abcdefghé\U0001f600")
+    texts = [unit.join(make(rng.choice([40, 120, 150, 300]), "abcd é\U0001f600") for _ in range(9)) for _ in range(12)] + [make(900, "ab") for _ in range(12)] + ["", "short", None, "x" * 1500]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, body string")
+    for k in (12, 5, 3, 24):
+        kind = ["id", "word", "copies", "positions"]
+        got, want = (sorted(map(tuple, x.select(*kind).collect())) for x in (words.exact_word_arrays(df, "id", "body", k), words._arrays_by_word(df.where("body is not null"), "id", "body", k, 3)))
+        assert got == want and (k > 12 or len(got) > 8)
+    assert "Exchange" not in words.exact_word_arrays(df, "id", "body", 12)._jdf.queryExecution().toString()
+    # Rows of one id are one text's positions, whatever the id.
+    twice = spark.createDataFrame([*rows, (3, texts[4]), (None, texts[5]), (None, texts[6])], "id int, body string")
+    got, want = ({(r.id, r.word, r.copies, tuple(r.positions)) for r in x.collect()} for x in (words.exact_word_arrays(twice, "id", "body", 12), words._arrays_by_word(twice.where("body is not null"), "id", "body", 12, 3)))
+    assert got == want
